@@ -76,3 +76,17 @@ h AS (
   FROM rng g CROSS JOIN range(256) b(i)
   LEFT JOIN (SELECT image_id, page, bin, count(*) AS n FROM hb GROUP BY ALL) c
     ON c.image_id = g.image_id AND c.page = g.page AND c.bin = b.i)"""
+
+NAMES = """fn AS (
+  SELECT page_id, '/data/' || lang || '/' || lang || '_' || num || '_' || page_id || ext AS path,
+         CASE WHEN page_id % 10 = 3 THEN 'dicom' WHEN page_id % 10 = 7 THEN 'bogus' END AS hint
+  FROM (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/]+/([a-z]*)', 1) AS lang, regexp_extract(url, '/([0-9]+)', 1) AS num,
+        ['.tif','.PNG','.npy','.fits','','.dcm','.czi','.xyz','.tar.nd2'][page_id % 9 + 1] AS ext FROM pages))"""
+
+
+def number_text_sql(v: str) -> str:
+    fixed = f"regexp_replace(printf('%.6f', {v}), '\\.?0+$', '')"
+    expo = f"regexp_replace(printf('%.5e', {v}), 'e([+-])0([0-9])', 'e\\1\\2')"
+    return f"""(CASE WHEN {v} IS NULL THEN '' WHEN isnan({v}) THEN 'NaN' WHEN isinf({v}) THEN CASE WHEN {v} > 0 THEN 'Inf' ELSE '-Inf' END
+      WHEN {v} = floor({v}) AND abs({v}) < 1e15 THEN CAST(CAST({v} AS BIGINT) AS VARCHAR)
+      WHEN {v} <> 0 AND (abs({v}) < 1e-4 OR abs({v}) >= 1e10) THEN {expo} ELSE {fixed} END)"""

@@ -113,3 +113,13 @@ def roi_table(spark: SparkSession, sf_dir: str) -> DataFrame:
         "when 'line' then array(x, y, x + width, y + height) "
         "when 'polyline' then array(x, y, x + width, y + 2, x + width, y + height, x + 1, y + height + 2) "
         "when 'point' then array(x, y, x + width, y + height, x + 2.5, y - 1.5) end"))
+
+
+def file_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """File paths made of web page addresses, extensions in turn."""
+    lang = "regexp_extract(url, '^[a-z]+://[^/]+/([a-z]*)', 1)"
+    num = "regexp_extract(url, '/([0-9]+)', 1)"
+    ext = "element_at(array('.tif','.PNG','.npy','.fits','','.dcm','.czi','.xyz','.tar.nd2'), cast(page_id % 9 as int) + 1)"
+    return table(spark, sf_dir, "pages").select(
+        "page_id", F.expr(f"concat('/data/', {lang}, '/', {lang}, '_', {num}, '_', page_id, {ext})").alias("path"),
+        F.expr("case when page_id % 10 = 3 then 'dicom' when page_id % 10 = 7 then 'bogus' end").alias("hint"))
