@@ -4,3 +4,4 @@ from planeweave.plans import registry  # noqa: F401
 from planeweave.plans import value_queries, stats_queries  # noqa: F401, E402
 from planeweave.plans import threshold_queries  # noqa: F401, E402
 from planeweave.plans import table_queries  # noqa: F401, E402
+from planeweave.plans import neighbourhood_queries  # noqa: F401, E402
