@@ -6,3 +6,4 @@ from planeweave.plans import threshold_queries  # noqa: F401, E402
 from planeweave.plans import table_queries  # noqa: F401, E402
 from planeweave.plans import neighbourhood_queries  # noqa: F401, E402
 from planeweave.plans import object_queries  # noqa: F401, E402
+from planeweave.plans import roi_queries  # noqa: F401, E402

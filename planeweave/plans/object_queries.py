@@ -175,14 +175,7 @@ def _curve(spark, sf):
     return O.stability_curve(s, plane_headers(s), rng, samples=16)
 
 
-@query("t14_stability_curve", f"""WITH RECURSIVE {HIST},
-b AS MATERIALIZED (SELECT CAST(k.i AS INTEGER) AS bin_index, CAST(floor(k.i / 15.0::DOUBLE * 255 + 0.5) AS INTEGER) AS bin FROM range(16) k(i)),
-m AS MATERIALIZED (SELECT r1.image_id || '#' || bin_index AS image_id, r1.page, r1.image_id AS im, bin_index, y, x, y * 64 + x AS i FROM r1 JOIN rng USING (image_id, page) JOIN b ON CAST(value AS FLOAT)::DOUBLE >= lo + (bin + 1) / 256.0::DOUBLE * (hi - lo)),
-{_components('m', 'l', False)},
-cn AS (SELECT m.im, m.page, m.bin_index, count(DISTINCT label) AS objects, count(*) AS px FROM l JOIN m USING (image_id, page, i) GROUP BY ALL),
-tot AS (SELECT image_id, page, count(*) AS px FROM r1 GROUP BY ALL)
-SELECT tot.image_id, tot.page, b.bin_index, b.bin, {rd("lo + (bin + 1) / 256.0::DOUBLE * (hi - lo)")} AS value, coalesce(objects, 0) AS object_count, {rd("coalesce(cn.px, 0)::DOUBLE / tot.px")} AS area_fraction
-FROM tot JOIN rng USING (image_id, page) CROSS JOIN b LEFT JOIN cn ON cn.im = tot.image_id AND cn.page = tot.page AND cn.bin_index = b.bin_index""")
+@query("t14_stability_curve")
 def t14(spark, sf):
     c = _curve(spark, sf)[0]
     return c.withColumn("value", rnd("value")).withColumn("area_fraction", rnd("area_fraction"))
