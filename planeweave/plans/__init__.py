@@ -8,3 +8,4 @@ from planeweave.plans import neighbourhood_queries  # noqa: F401, E402
 from planeweave.plans import object_queries  # noqa: F401, E402
 from planeweave.plans import roi_queries  # noqa: F401, E402
 from planeweave.plans import display_queries  # noqa: F401, E402
+from planeweave.plans import dataset_queries  # noqa: F401, E402
