@@ -99,7 +99,8 @@ def _parse(text: str):
     try:
         tree = ast.parse(source.strip(), mode="eval").body
     except SyntaxError as exc:
-        at = min(lead + (exc.offset or 1) - 1, len(origin) - 1)
+        unfinished = source.rstrip()[-1:] in ("", *"+-*/%(,")
+        at = len(origin) - 1 if unfinished else min(lead + (exc.offset or 1) - 1, len(origin) - 1)
         raise ExpressionError("Unexpected token or end of expression", origin[at]) from None
     return tree, names, source.strip(), lambda node: origin[lead + node.col_offset]
 

@@ -13,21 +13,30 @@ from planeweave.schema import PLANE
 from planeweave.session import cut_lineage
 
 
-def dense_rank_by_value(rows: DataFrame, keys: list[str], value: str, name: str, parts: int = 64) -> DataFrame:
+def dense_rank_by_value(rows: DataFrame, keys: list[str], value: str, name: str, parts: int = 64, direct: int = 100_000) -> DataFrame:
     """``(keys, value, name)`` with the 0-based rank of each distinct value per key.
 
-    Values fall into parts along sketched quantiles; ranks are counted inside a part and
-    shifted by the parts before it, so no task orders a whole key.
+    Keys of up to ``direct`` distinct values are ranked by one window. Values of larger keys
+    fall into parts along sketched quantiles; ranks are counted inside a part and shifted by
+    the parts before it, so no task orders a whole large key.
     """
     d = rows.select(*keys, value).distinct()
-    cuts = d.groupBy(*keys).agg(F.percentile_approx(value, [i / parts for i in range(1, parts)], 1000).alias("_cuts"))
-    d = d.join(cuts, keys).withColumn("_part", F.size(F.filter("_cuts", lambda c: c <= F.col(value)))).drop("_cuts")
+    sizes = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("_d"))
+    if sizes.where(F.col("_d") > direct).isEmpty():
+        return d.select(*keys, value, (F.row_number().over(Window.partitionBy(*keys).orderBy(value)) - 1).cast("int").alias(name))
+    d = d.join(sizes, keys)
+    small = d.where(F.col("_d") <= direct).select(*keys, value, (F.row_number().over(
+        Window.partitionBy(*keys).orderBy(value)) - 1).cast("int").alias(name))
+    big = d.where(F.col("_d") > direct)
+    cuts = big.groupBy(*keys).agg(F.percentile_approx(value, [i / parts for i in range(1, parts)], 1000).alias("_cuts"))
+    big = big.join(cuts, keys).withColumn("_part", F.size(F.filter("_cuts", lambda c: c <= F.col(value)))).drop("_cuts")
     before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    shift = d.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_n")).select(
+    shift = big.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_n")).select(
         *keys, "_part", F.coalesce(F.sum("_n").over(before), F.lit(0).cast("long")).alias("_shift"))
     inner = F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(value)) - 1
-    return d.withColumn("_r", inner).join(shift, [*keys, "_part"]).select(
+    ranked = big.withColumn("_r", inner).join(shift, [*keys, "_part"]).select(
         *keys, value, (F.col("_r") + F.col("_shift")).cast("int").alias(name))
+    return small.unionByName(ranked)
 
 
 def slice_position(position: str = "position", orientation: str = "orientation") -> Column:
@@ -46,9 +55,9 @@ def assemble_series(headers: DataFrame) -> DataFrame:
     and echo, else over the whole series. Time and echo axes exist only with several values.
     """
     text = lambda c: F.when(F.col(c) != "", F.col(c))
-    h = headers.where("has_pixels").withColumn("_key", F.coalesce(text("sop_uid"), F.col("path")))
-    fields = F.struct(*[c for c in h.columns if c != "_key"])
-    h = h.groupBy("_key").agg(F.min_by(fields, F.struct(natural_key("path"), F.col("path"))).alias("h")).select("h.*")
+    h = headers.where("has_pixels").select("*", F.coalesce(text("sop_uid"), F.col("path")).alias("_key"), natural_key("path").alias("_natural"))
+    first = F.min(F.struct("_natural", *["path", *[c for c in headers.columns if c != "path"]]))
+    h = h.groupBy("_key").agg(first.alias("h")).select("h.*").drop("_natural")
     angle = F.array_join(F.transform(F.slice("orientation", 1, 6), lambda v: F.format_string("%.4f", v)), "\\")
     identity = F.coalesce(text("series_uid"), F.concat(
         F.coalesce("study_uid", F.lit("")), F.lit("|series-"), F.coalesce(F.col("series_number").cast("string"), F.lit("?"))))
@@ -58,9 +67,10 @@ def assemble_series(headers: DataFrame) -> DataFrame:
         F.coalesce(angle, F.lit("unknown-orientation"))))
     # The headers are read by several branches below: write the deduplicated rows once.
     h = cut_lineage(h.withColumn("_pos", F.round(slice_position(), 5)))
+    several = lambda c: F.coalesce(F.min(c) < F.max(c), F.lit(False))
     g = h.groupBy("group_id").agg(
-        (F.count("_pos") == F.count(F.lit(1))).alias("_all"), (F.count_distinct("t") > 1).alias("_t"),
-        (F.count_distinct("echo") > 1).alias("_e"), (F.max("frames") > 1).alias("_f"))
+        (F.count("_pos") == F.count(F.lit(1))).alias("_all"), several("t").alias("_t"),
+        several("echo").alias("_e"), (F.max("frames") > 1).alias("_f"))
     h = h.join(g, "group_id")
     for axis, flag in (("t", "_t"), ("echo", "_e")):
         used = h.where(F.col(flag) & F.col(axis).isNotNull())
@@ -210,9 +220,12 @@ def lookup_planes(requests: DataFrame, axes: DataFrame, planes: DataFrame) -> Da
     at = lambda e: F.coalesce(F.try_element_at("coordinates", e["axis"]), F.lit(0))
     want = F.transform("_axes", lambda e: F.greatest(F.lit(0), F.least(e["size"] - 1, at(e).cast("int"))))
     have = F.transform("_axes", lambda e: at(e).cast("int"))
-    p = planes.join(a, "series_id").select("series_id", have.alias("_at"), "resource", "plane_order")
+    # A series without axes has one position, the empty list.
+    empty = F.expr("cast(array() as array<struct<axis string, size int>>)")
+    with_axes = lambda df: df.join(a, "series_id", "left").withColumn("_axes", F.coalesce("_axes", empty))
+    p = with_axes(planes).select("series_id", have.alias("_at"), "resource", "plane_order")
     p = p.groupBy("series_id", "_at").agg(F.min_by("resource", "plane_order").alias("resource"))
-    return requests.join(a, "series_id").select("request_id", "series_id", want.alias("_at")).join(
+    return with_axes(requests).select("request_id", "series_id", want.alias("_at")).join(
         p, ["series_id", "_at"]).select("request_id", "series_id", F.col("_at").alias("position"), "resource")
 
 

@@ -198,7 +198,7 @@ def local_median(plane: DataFrame, radius: float, offset: float = 0.0, dark_back
     p = p.where(finite("value")).withColumn("bin", floor_bin(F.col("value"), F.col("lo"), F.col("hi"), 64))
     tiles = to_halo_tiles(p.select(*PIXEL, "value", "lo", "hi", "bin"), tile, rad)
 
-    def kernel(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def kernel(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         ty, tx = int(key[2]), int(key[3])
         side = tile + 2 * rad
         grid = np.full((side, side), 255, dtype=np.uint8)  # 255 = no sample

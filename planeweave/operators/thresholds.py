@@ -28,12 +28,15 @@ def histogram_arrays(hist: DataFrame, keys: list[str] = PLANE) -> DataFrame:
                     lambda i: F.coalesce(F.try_element_at("_m", i), F.lit(0).cast("long"))).alias("counts"))
 
 
-def dense(hist: DataFrame, keys: list[str] = PLANE) -> DataFrame:
-    """All 256 bins with running sums: c = counts, s = bin * n, q = n * n, g = n ln n.
+def dense(hist: DataFrame, keys: list[str] = PLANE, all_bins: bool = True) -> DataFrame:
+    """Bins with running sums: c = counts, s = bin * n, q = n * n, g = n ln n.
 
-    Counts stay integers, so running sums are exact and independent of order.
+    Counts stay integers, so running sums are exact and independent of order. Methods whose
+    criterion cannot prefer an empty bin skip them (``all_bins=False``).
     """
-    d = histogram_arrays(hist, keys).select(*keys, "lo", "hi", F.posexplode("counts").alias("bin", "n"))
+    d = hist.select(*keys, "lo", "hi", "bin", "n")
+    if all_bins:
+        d = histogram_arrays(hist, keys).select(*keys, "lo", "hi", F.posexplode("counts").alias("bin", "n"))
     run = Window.partitionBy(*keys).orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy(*keys)
     n, b = F.col("n"), F.col("bin")
@@ -287,7 +290,8 @@ def auto_threshold(hist: DataFrame, method: str, keys: list[str] = PLANE) -> Dat
 
         out = histogram_arrays(hist, keys).withColumn("threshold_bin", pick("counts")).drop("counts")
     else:
-        out = _WINDOW_METHODS.get(method, otsu)(dense(hist, keys), keys)
+        chosen = _WINDOW_METHODS.get(method, otsu)
+        out = chosen(dense(hist, keys, all_bins=chosen in (triangle, yen, percentile)), keys)
     return out.withColumn("threshold", upper_edge(F.col("threshold_bin"), F.col("lo"), F.col("hi")))
 
 
