@@ -18,7 +18,7 @@ _HDR = """hdr AS (SELECT '/s' || o_custkey || '/im' || (l_linenumber * 7 % 13) |
 
 
 def _headers(spark, sf):
-    li, o = views.table(spark, sf, "lineitem"), views.table(spark, sf, "orders")
+    li, o = views.spread(views.table(spark, sf, "lineitem")), views.table(spark, sf, "orders")
     return li.join(o, li.l_orderkey == o.o_orderkey).select(
         F.expr("concat('/s', o_custkey, '/im', l_linenumber * 7 % 13, '_', l_partkey, '_', l_suppkey, '.dcm')").alias("path"),
         F.expr("l_linenumber <> 7").alias("has_pixels"), F.col("o_orderkey").cast("string").alias("sop_uid"),

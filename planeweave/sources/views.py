@@ -17,6 +17,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores on a table that arrives as fewer splits (one small file is one task);
+    tables of many files are left as they are."""
+    wanted = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df
+
+
 def float_stack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """64 x 64 float planes: 64 vectors make one plane, one vector one line."""
     return table(spark, sf_dir, "embeddings").select(
@@ -80,7 +87,7 @@ def bench_raster(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def result_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as measurement rows: one row per object, grouped by order priority."""
-    li, o = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
+    li, o = spread(table(spark, sf_dir, "lineitem")), table(spark, sf_dir, "orders")
     return li.join(o, li.l_orderkey == o.o_orderkey).select(
         F.expr("concat('img_', l_suppkey)").alias("image_id"),
         F.expr("concat(l_orderkey, '-', l_partkey, '-', l_linenumber)").alias("roi_id"),
