@@ -188,16 +188,16 @@ def j10(spark, sf):
 @query("j11_area_rows", f"""WITH {SPANS}, {_HOLED}, {_A7}, {_ELL},
 o96 AS MATERIALIZED ({outline_sql(96).split("MATERIALIZED (", 1)[1].split(chr(10) + "ed AS", 1)[0].rstrip().rstrip(",").rstrip(")")}),
 e96 AS (SELECT a.roi_id, a.kind, sum(sqrt(((b.vx - a.vx) * 2) ** 2 + (b.vy - a.vy) ** 2)) AS perimeter FROM o96 a JOIN o96 b ON b.roi_id = a.roi_id AND b.i = (a.i + 1) % a.n GROUP BY ALL)
-SELECT es.roi_id, es.image_id, es.page, channel, kind, es.n AS pixel_count, es.n * 2.0::DOUBLE AS area, {rd("perimeter", 4)} AS perimeter, {rd("major", 4)} AS major, {rd("minor", 4)} AS minor, es.cx * 0 + {rd("es.cx * 2", 4)} AS centroid_x,
-       {rd("least(1, 4 * pi() * es.n * 2 / (perimeter * perimeter))", 4)} AS circularity, {rd("major / minor", 4)} AS aspect_ratio, {rd("4 * es.n * 2 / (pi() * major * major)", 4)} AS roundness,
-       {rd("mean", 4)} AS mean, {rd("med", 4)} AS median, {rd("es.n * 2 * mean", 4)} AS integrated_density, {rd("total", 4)} AS raw_integrated_density, {rd("cmx * 2", 4)} AS center_of_mass_x, nf AS non_finite_count
+SELECT es.roi_id, es.image_id, es.page, channel, kind, es.n AS pixel_count, es.n * 2.0::DOUBLE AS area, {rd("perimeter", 9)} AS perimeter, {rd("major", 9)} AS major, {rd("minor", 9)} AS minor, es.cx * 0 + {rd("es.cx * 2", 9)} AS centroid_x,
+       {rd("least(1, 4 * pi() * es.n * 2 / (perimeter * perimeter))", 9)} AS circularity, {rd("major / minor", 9)} AS aspect_ratio, {rd("4 * es.n * 2 / (pi() * major * major)", 9)} AS roundness,
+       {rd("mean", 9)} AS mean, {rd("med", 9)} AS median, {rd("es.n * 2 * mean", 9)} AS integrated_density, {rd("total", 9)} AS raw_integrated_density, {rd("cmx * 2", 9)} AS center_of_mass_x, nf AS non_finite_count
 FROM es JOIN e96 USING (roi_id) JOIN st USING (roi_id) JOIN mo USING (roi_id)""")
 def j11(spark, sf):
     rois, s, planes = _base(spark, sf)
     g = J.area_rows(rois, _holed(s), planes, 2.0, 1.0)
     num = ("perimeter", "major", "minor", "centroid_x", "circularity", "aspect_ratio", "roundness", "mean", "median",
            "integrated_density", "raw_integrated_density", "center_of_mass_x")
-    return g.select("roi_id", *PLANE, "channel", "kind", "pixel_count", "area", "non_finite_count", *[rnd(c, 4).alias(c) for c in num])
+    return g.select("roi_id", *PLANE, "channel", "kind", "pixel_count", "area", "non_finite_count", *[rnd(c, 9).alias(c) for c in num])
 
 
 _PTS = """pts AS (SELECT c_custkey AS point_id, 'emb_0' AS image_id, CAST(c_custkey % 8 AS INTEGER) AS page, (c_custkey * 37 % 640) / 10.0::DOUBLE AS px, (c_custkey * 53 % 640) / 10.0::DOUBLE AS py FROM customer)"""
