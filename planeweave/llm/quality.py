@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from planeweave.llm.common import BLANK, WORD, whole, words
+from planeweave.llm.common import WORD, whole, words
 
 #: Frequent function words of English, German, French and Spanish.
 STOP_WORDS = (
@@ -34,31 +34,27 @@ RULES = (
     Rule("symbols_per_word", "n_symbols", "n_words", None, 0.25),
     Rule("exclamations_per_word", "n_exclaims", "n_words", None, 0.25),
     Rule("stop_words_per_word", "n_stop_words", "n_words", 0.06, None),
-    Rule("duplicate_lines", "n_dup_lines", "n_lines", None, 0.3),
+    Rule("duplicate_lines", "n_dup_lines", "n_lines", None, 0.5),
 )
 
 
 def _counts(df: DataFrame) -> DataFrame:
     """The base counts and those that rules refer to, from the columns ``_t`` (text) and ``_w`` (words)."""
     lines = F.filter(F.split(F.col("_t"), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    # Three-word windows by a 64-bit hash with their place; equal neighbours in sorted order repeat.
-    window = F.filter(
-        F.transform("_w", lambda w, i: F.struct(
-            F.xxhash64(w, F.get("_w", i + 1), F.get("_w", i + 2)).alias("h"), i.alias("i"))),
-        lambda x: x.i < F.size("_w") - 2)
     df = df.select(
         "*",
         F.size("_w").cast("long").alias("n_words"),
-        F.length(F.regexp_replace("_t", BLANK + "+", "")).cast("long").alias("word_chars"),
+        F.length(F.array_join("_w", "")).cast("long").alias("word_chars"),
         F.regexp_count("_t", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
         F.regexp_count("_t", F.lit("!")).cast("long").alias("n_exclaims"),
-        F.size(F.filter("_w", lambda w: F.regexp_replace(F.lower(w), "[.,]$", "").isin(*dict.fromkeys(STOP_WORDS)))).cast("long").alias("n_stop_words"),
+        F.size(F.filter("_w", lambda w: F.lower(w).isin(*dict.fromkeys(STOP_WORDS)))).cast("long").alias("n_stop_words"),
         lines.alias("_l"),
-        F.transform("_w", lambda w, i: F.xxhash64(w, F.get("_w", i + 1), F.get("_w", i + 2))).alias("_h"),
-        window.alias("_x"))
-    # Only texts with a repeated window are sorted.
-    full = F.slice("_h", 1, F.greatest(F.size("_w") - 2, F.lit(0)))
-    df = df.select("*", F.when(F.size(F.array_distinct(full)) < F.size(full), F.sort_array("_x")).otherwise(
+        # Three-word windows by a 64-bit hash.
+        F.transform(F.slice("_w", 1, F.greatest(F.size("_w") - 2, F.lit(0))),
+                    lambda w, i: F.xxhash64(w, F.get("_w", i + 1), F.get("_w", i + 2))).alias("_h"))
+    # Only texts with a repeated window are sorted; equal neighbours in sorted order repeat.
+    df = df.select("*", F.when(F.size(F.array_distinct("_h")) < F.size("_h"), F.sort_array(
+        F.transform("_h", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))).otherwise(
         F.array().cast("array<struct<h:bigint,i:int>>")).alias("_s"))
     same = lambda x, k: F.coalesce(x.h == F.get("_s", k - 1).h, F.lit(False)) | F.coalesce(x.h == F.get("_s", k + 1).h, F.lit(False))
     places = F.sort_array(F.transform(F.filter("_s", same), lambda x: x.i))
@@ -107,7 +103,7 @@ w AS (SELECT *, regexp_extract_all(t, '{WORD}') AS w,
              list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM t),
 c AS (SELECT r, doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
              len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols, len(regexp_extract_all(t, '!'))::BIGINT AS n_exclaims,
-             len(list_filter(w, lambda x: regexp_replace(lower(x), '[.,]$', '') IN ({_STOP})))::BIGINT AS n_stop_words,
+             len(list_filter(w, lambda x: lower(x) IN ({_STOP})))::BIGINT AS n_stop_words,
              len(l)::BIGINT AS n_lines, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, w FROM w),
 g AS (SELECT r, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM c)),
 d AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS n FROM g) WHERE n > 1),
@@ -116,6 +112,6 @@ f AS (SELECT c.*, coalesce(p.n, 0) AS n_repeat_words, n_words < 50 OR 100 * coal
       FROM c LEFT JOIN p USING (r))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND word_chars >= 2 * n_words AND word_chars <= 16 * n_words AND n_symbols <= 0.25 * n_words
-       AND n_exclaims <= 0.25 * n_words AND n_stop_words >= 0.06 * n_words AND n_dup_lines <= 0.3 * n_lines AS kept,
+       AND n_exclaims <= 0.25 * n_words AND n_stop_words >= 0.06 * n_words AND n_dup_lines <= 0.5 * n_lines AS kept,
        n_lines, n_exclaims, n_stop_words
 FROM f"""
