@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from planeweave.llm import langid, linededup, mixing, packing, pagetext, quality, spotsigs, toxicity
+from planeweave.llm import jaccard, langid, linededup, mixing, packing, pagetext, quality, spotsigs, toxicity
 from planeweave.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +23,11 @@ def query(name: str, oracle: str | None = None):
     return keep
 
 
+@query("op1_ngram_jaccard")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.components(table(spark, sf_dir, "documents"))
+
+
 @query("op3_line_dedup", linededup.SQL)
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.digest(table(spark, sf_dir, "documents"))
