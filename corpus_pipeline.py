@@ -4,10 +4,44 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from planeweave.llm import jaccard, linededup, mixing, packing, toxicity
 from planeweave.llm.common import stored, table
 
-STAGES: list = []
-#: The stages learn a classifier and tokenize, which SQL cannot express; tests hold them against brute force.
+
+def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the learned score calls toxic go; the others stay as they are."""
+    return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
+
+
+def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that a smaller document holds go; every document stays, and n_chars follows its text."""
+    return linededup.dedup_documents(docs)
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of the documents that links of 0.75 join, the smallest id stays."""
+    return jaccard.keep_one(docs)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes most of them, at most twice; those it hardly takes go."""
+    return mixing.mixed_documents(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row per piece of the packed sequences."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("toxicity", without_toxic),
+    ("line dedup", without_repeated_lines),
+    ("n-gram Jaccard join", one_of_each_group),
+    ("mixing sources to target weights", mixed),
+    ("packing", packed),
+]
+#: The first stage learns a classifier and the last one tokenizes, which SQL cannot express; tests hold
+#: the stages against brute force.
 ORACLE_SQL: str | None = None
 
 

@@ -272,10 +272,12 @@ def digest(docs: DataFrame) -> DataFrame:
 
 def dedup_documents(docs: DataFrame) -> DataFrame:
     """The documents with their columns in order, repeated lines dropped from ``text``; a text that
-    loses nothing (null included) stays as it is."""
+    loses nothing (null included) stays as it is. ``n_chars``, where there is such a column, follows the text."""
     out = clean(docs.withColumn("__null", F.col("text").isNull()), LineIndex.build(docs))
-    text = F.when(F.col("__null"), F.lit(None)).otherwise(F.col("__text"))
-    return out.select(*[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])
+    new = {"text": F.when(F.col("__null"), F.lit(None)).otherwise(F.col("__text"))}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(F.col("__n_dropped") > 0, F.length("__text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return out.select(*[new.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
 
 
 #: Whole-table counts of the keys, for DuckDB.

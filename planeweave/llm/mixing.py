@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from planeweave.llm.common import WORD, fixed_hash, stored, whole
@@ -12,6 +16,8 @@ MOST = 2.0
 BLOCK = 1024
 SHARD = 1 << 20
 SEED = "mix-1"
+CELL = ["source", "_shard"]
+_WORDS = re.compile(WORD)
 
 
 def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
@@ -40,54 +46,102 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float
         F.least(F.col("_at") * F.col("_w"), F.col("_cap")), F.col("_cap")).cast("double").alias("target"))
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST, block: int = BLOCK,
-        shard: int = SHARD, seed: str = SEED) -> DataFrame:
-    """``doc_id, size, source_size, target, taken`` for every row of ``docs`` (doc_id, text, source).
+def _taken(sizes: DataFrame, weights, share: float, most: float, block: int, shard: int, seed: str) -> DataFrame:
+    """The pieces of documents that each block holds, with the words taken of them in the first and second pass.
 
-    A source is split by a seeded hash of its documents into shards of about ``shard`` words,
-    so no source, however large, is one group. A shard's documents, in seeded order, form a
-    line of words cut into equal blocks. Seats go to shards by highest quotients: seat k
-    (from 0) of a shard with target t has quotient t / (k + 1/2), and every seat whose quotient
-    reaches the block length is won, which is the Sainte-Lague apportionment of as many seats
-    as that makes. Blocks are then taken in seeded order, a second time where the quota exceeds
-    the line; the part of a block by which quota and target differ (half a block at most, per
-    shard) is taken from, or left out of, the last one.
-
-    Null text counts as empty and takes 0; a null source is a source, last in order; repeated
-    rows each have their own words on the line. Without words all targets are 0.
+    ``sizes`` has doc_id, source, size and _key, which tells rows of equal id apart.
     """
-    sizes = stored(docs.select("doc_id", "source", F.regexp_count(whole(), F.lit(WORD)).cast("long").alias("size")))
     goal = targets(sizes, weights, share, most)
     goal = (F.broadcast(goal) if _few(goal) else goal).alias("g")
     rows = sizes.alias("d").join(goal, F.col("d.source").eqNullSafe(F.col("g.source")))
-    rows = rows.select("doc_id", F.col("d.source").alias("source"), "size", "source_size", "target")
-    draw = fixed_hash(F.lit(seed), "doc_id")
+    rows = rows.select("doc_id", F.col("d.source").alias("source"), "size", "_key", "source_size", "target")
     shards = F.ceil(F.greatest(F.col("source_size"), F.lit(1)) / F.lit(shard))
-    rows = rows.withColumn("_draw", draw).withColumn("_shard", F.pmod(F.col("_draw"), shards))
+    rows = rows.withColumn("_draw", fixed_hash(F.lit(seed), "doc_id")).withColumn("_shard", F.pmod(F.col("_draw"), shards))
     rows = rows.repartition("source", "_shard")
-    cell = ["source", "_shard"]
-    line = Window.partitionBy(*cell).orderBy("_draw", "doc_id", "size")
+    line = Window.partitionBy(*CELL).orderBy("_draw", "doc_id", "size", "_key")
     rows = rows.withColumn("_row", F.row_number().over(line)).withColumn(
         "_end", F.sum("size").over(line.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    rows = rows.withColumn("_words", F.sum("size").over(Window.partitionBy(*cell)))
+    rows = rows.withColumn("_words", F.sum("size").over(Window.partitionBy(*CELL)))
     # Whole words a shard is to give, and its seats.
     rows = rows.withColumn("_t", F.round(F.col("target") * F.col("_words") / F.greatest(F.col("source_size"), F.lit(1))).cast("long"))
     rows = rows.withColumn("quota", F.floor(F.col("_t") / F.lit(block) + F.lit(0.5)).cast("long"))
-    start = F.col("_end") - F.col("size")
     first, last = F.expr(f"(_end - size) div {block}"), F.expr(f"greatest(_end - 1, _end - size) div {block}")
-    rows = rows.withColumn("_start", start).withColumn("_block", F.explode(F.sequence(first, last)))
+    rows = rows.withColumn("_start", F.col("_end") - F.col("size")).withColumn("_block", F.explode(F.sequence(first, last)))
     low = F.greatest(F.col("_start"), F.col("_block") * F.lit(block))
     high = F.least(F.col("_end"), (F.col("_block") + 1) * F.lit(block))
-    rows = rows.withColumn("_n", high - low).withColumn("_turn", fixed_hash(F.lit(seed), F.col("source"), F.col("_shard"), F.col("_block")))
-    turn = Window.partitionBy(*cell).orderBy("_turn", "_block", "_row").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumns({"_from": low - F.col("_start"), "_n": high - low, "_turn": fixed_hash(F.lit(seed), F.col("source"), F.col("_shard"), F.col("_block"))})
+    turn = Window.partitionBy(*CELL).orderBy("_turn", "_block", "_row").rowsBetween(Window.unboundedPreceding, -1)
     before = F.coalesce(F.sum("_n").over(turn), F.lit(0))
     # The seats' words, plus what settles their difference from _t in the last block.
     settle = F.col("_t") - F.col("quota") * F.lit(block)
     reach = F.col("quota") * F.lit(block) + settle
-    given = lambda passed: F.greatest(F.lit(0), F.least(F.col("_n"), reach - passed - before))
-    rows = rows.withColumn("_given", given(F.lit(0)) + given(F.col("_words")))
-    return rows.groupBy(*cell, "_row", "doc_id", "size", "source_size", "target", "quota").agg(
-        F.sum("_given").cast("long").alias("taken")).select("doc_id", "size", "source_size", "target", "taken")
+    given = lambda passed: F.greatest(F.lit(0), F.least(F.col("_n"), reach - passed - before)).cast("long")
+    return rows.withColumns({"_once": given(F.lit(0)), "_twice": given(F.col("_words"))})
+
+
+def _sizes(docs: DataFrame, key) -> DataFrame:
+    return stored(docs.select("doc_id", "source", F.regexp_count(whole(), F.lit(WORD)).cast("long").alias("size"), key.alias("_key")))
+
+
+def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST, block: int = BLOCK,
+        shard: int = SHARD, seed: str = SEED) -> DataFrame:
+    """``doc_id, size, source_size, target, taken`` for every row of ``docs`` (doc_id, text, source).
+
+    A source is split by a seeded hash of its documents into shards of about ``shard`` words,
+    so no source, however large, is one group. A shard's documents, in seeded order, form a
+    line of words cut into equal blocks. Seats go to shards by highest quotients: seat k
+    (from 0) of a shard with target t has quotient t / (k + 1/2), and every seat whose quotient
+    reaches the block length is won, which is the Sainte-Lague apportionment of as many seats
+    as that makes. Blocks are then taken in seeded order, a second time where the quota exceeds
+    the line; the part of a block by which quota and target differ (half a block at most, per
+    shard) is taken from, or left out of, the last one.
+
+    Null text counts as empty and takes 0; a null source is a source, last in order; repeated
+    rows each have their own words on the line. Without words all targets are 0.
+    """
+    rows = _taken(_sizes(docs, F.lit(0).cast("long")), weights, share, most, block, shard, seed)
+    return rows.groupBy(*CELL, "_row", "doc_id", "size", "source_size", "target").agg(
+        F.sum(F.col("_once") + F.col("_twice")).alias("taken")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts cut down to runs of their words, (first word, count) each; what stands between words of a run stays."""
+    for batch in batches:
+        texts = []
+        for text, runs, size in zip(*(batch.column(c).to_pylist() for c in ("text", "__runs", "__size"))):
+            if [tuple(r.values()) for r in runs] != [(0, size)]:
+                spans = [m.span() for m in _WORDS.finditer(text)]
+                text = "\n".join(text[spans[r["at"]][0]:spans[r["at"] + r["n"] - 1][1]] for r in runs)
+            texts.append(text)
+        yield batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(texts, pa.string()))
+
+
+def mixed_documents(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST, block: int = BLOCK,
+                    shard: int = SHARD, seed: str = SEED) -> DataFrame:
+    """The mix itself: the columns of ``docs``, a row for each pass in which words of a document are taken.
+
+    The text of a row is the taken words' part of it, and ``n_chars``, where there is such a column,
+    its length. Documents of which nothing is taken, empty ones among them, have no row.
+    """
+    key = F.xxhash64("doc_id", "source", "text")
+    rows = _taken(_sizes(docs, key), weights, share, most, block, shard, seed)
+    runs = rows.select(*CELL, "_row", "_key", "size", "_block", "_from", F.explode(F.array(
+        F.struct(F.lit(1).alias("turn"), F.col("_once").alias("n")), F.struct(F.lit(2).alias("turn"), F.col("_twice").alias("n")))).alias("x"))
+    runs = runs.where("x.n > 0").groupBy(*CELL, "_row", "_key", "size", "x.turn").agg(F.sort_array(F.collect_list(F.struct(
+        F.col("_from").alias("at"), F.col("x.n").alias("n")))).alias("_runs"))
+    # Neighbouring runs become one.
+    runs = runs.withColumn("_runs", F.aggregate("_runs", F.array().cast("array<struct<at:bigint,n:bigint>>"), lambda done, r: F.when(
+        (F.size(done) > 0) & (F.element_at(done, -1)["at"] + F.element_at(done, -1)["n"] == r["at"]),
+        F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(F.element_at(done, -1)["at"].alias("at"), (F.element_at(done, -1)["n"] + r["n"]).alias("n"))))).otherwise(
+        F.concat(done, F.array(r)))))
+    # Rows alike in id, source and text share a key: the k-th of them takes the k-th entry.
+    per_row = runs.groupBy(*CELL, "_row", "_key", "size").agg(F.collect_list("_runs").alias("_passes"))
+    plan = per_row.groupBy("_key").agg(F.sort_array(F.collect_list(F.struct("_row", "size", "_passes"))).alias("_plan"))
+    turn = Window.partitionBy("__key").orderBy("doc_id")
+    out = docs.withColumn("__key", key).join(plan.withColumnRenamed("_key", "__key"), "__key").withColumn("__mine", F.get("_plan", F.row_number().over(turn) - 1))
+    out = out.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode("__mine._passes").alias("__runs"), F.col("__mine.size").alias("__size"))
+    out = out.mapInArrow(_cut, out.schema).drop("__runs", "__size")
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def _few(goal: DataFrame, bound: int = 100_000) -> bool:
