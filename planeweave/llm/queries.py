@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from planeweave.llm import jaccard, langid, linededup, mixing, packing, pagetext, quality, spotsigs, toxicity
+from planeweave.llm import jaccard, langid, linededup, lmscore, mixing, packing, pagetext, quality, spotsigs, toxicity
 from planeweave.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,11 +23,17 @@ def query(name: str, oracle: str | None = None):
     return keep
 
 
-@query("op1_ngram_jaccard")
+@query("op1_ngram_jaccard", jaccard.SQL)
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.components(table(spark, sf_dir, "documents"))
 
 
+@query("op2_lm_scores", lmscore.SQL)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rounded = {c: F.round(c, 6) for c in ("log_score", "mean_log_score")}
+    return lmscore.scores(table(spark, sf_dir, "documents")).withColumns(rounded)
+
+
 @query("op3_line_dedup", linededup.SQL)
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.digest(table(spark, sf_dir, "documents"))
