@@ -63,11 +63,8 @@ def glob_to_regex(glob: str) -> str:
     return "(?i)^(?:" + "|".join(parts) + ")$"
 
 
-def select_paths(paths: DataFrame, path: str, glob: str, limit: int | None = 2000) -> DataFrame:
-    """Rows whose path matches segment by segment, in natural order, at most ``limit``.
-
-    The cap is part of the feature (a selection list); ``limit=None`` lifts it.
-    """
+def select_paths(paths: DataFrame, path: str, glob: str, limit: int | None = None) -> DataFrame:
+    """Rows whose path matches segment by segment; with ``limit``, the first so many in natural order."""
     segments = [s for s in glob.split("/") if s]
     have = F.filter(F.split(path, "/"), lambda s: s != "")
     ok = F.size(have) == len(segments)
@@ -78,19 +75,38 @@ def select_paths(paths: DataFrame, path: str, glob: str, limit: int | None = 200
 
 
 def natural_key(name: Column | str) -> Column:
-    """Sort key that compares digit runs as numbers: pad each run to 20 digits."""
-    padded = F.regexp_replace(F.lower(col(name)), r"([0-9]+)", "0" * 20 + "$1")
-    return F.regexp_replace(padded, r"[0-9]*([0-9]{20})", "$1")
+    """Sort key that compares digit runs as numbers of any length: each run, without leading zeros, follows
+    its length in eight digits."""
+    runs = F.regexp_extract_all(F.lower(col(name)), F.lit(r"[0-9]+|[^0-9]+"), F.lit(0))
+
+    def spelled(run: Column) -> Column:
+        digits = F.regexp_replace(run, r"^0+(?=[0-9])", "")
+        return F.when(run.rlike(r"^[0-9]"), F.concat(F.lpad(F.length(digits).cast("string"), 8, "0"), digits)).otherwise(run)
+
+    return F.array_join(F.transform(runs, spelled), "")
 
 
 # --- format routing ----------------------------------------------------------------------
 
-# Extension families and the decoder kind they route to.
+# The decoder kinds and the extensions that route to each.
 FORMATS = {
-    "tiff": "tif tiff tf2 tf8 btf", "exr": "exr", "pfm": "pfm", "netpbm": "ppm pgm pbm",
-    "png": "png jpg jpeg", "npy": "npy npz", "hdr": "hdr", "tga": "tga", "web-image": "webp avif bmp ico",
-    "jxl": "jxl", "fits": "fits fit fts", "dicom": "dcm dicom", "netcdf": "nc cdf", "czi": "czi",
-    "nd2": "nd2", "lif": "lif", "layered": "ora kra psd psb xcf afphoto af",
+    "tiff": ["tif", "tiff", "tf2", "tf8", "btf"],
+    "exr": ["exr"],
+    "pfm": ["pfm"],
+    "netpbm": ["ppm", "pgm", "pbm"],
+    "png": ["png", "jpg", "jpeg"],
+    "npy": ["npy", "npz"],
+    "hdr": ["hdr"],
+    "tga": ["tga"],
+    "web-image": ["webp", "avif", "bmp", "ico"],
+    "jxl": ["jxl"],
+    "fits": ["fits", "fit", "fts"],
+    "dicom": ["dcm", "dicom"],
+    "netcdf": ["nc", "cdf"],
+    "czi": ["czi"],
+    "nd2": ["nd2"],
+    "lif": ["lif"],
+    "layered": ["ora", "kra", "psd", "psb", "xcf", "afphoto", "af"],
 }
 
 
@@ -105,7 +121,7 @@ def route_formats(files: DataFrame, path: str = "path", hint: str = "hint") -> D
     The routing table has a fixed size (about 40 rows), so it is broadcast.
     """
     spark = files.sparkSession
-    rows = [(ext, kind) for kind, exts in FORMATS.items() for ext in exts.split()]
+    rows = [(ext, kind) for kind, exts in FORMATS.items() for ext in exts]
     table = F.broadcast(spark.createDataFrame(rows, "ext string, kind_by_ext string"))
     ext = extension_of(path)
     kind = (F.when(F.col(hint).isin(*FORMATS), F.col(hint))

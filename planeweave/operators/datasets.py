@@ -189,7 +189,7 @@ def loop_axes(acquisitions: DataFrame) -> DataFrame:
     when P is taken); loops that do not divide the frame count give a flat Frame axis.
     """
     names = F.create_map(*[F.lit(v) for kv in LOOP_AXES.items() for v in kv])
-    d = acquisitions.withColumn("_l", F.transform(F.filter(F.slice("loops", 1, 9), lambda e: e["count"] > 1), lambda e: F.struct(
+    d = acquisitions.withColumn("_l", F.transform(F.filter("loops", lambda e: e["count"] > 1), lambda e: F.struct(
         F.coalesce(F.try_element_at(names, e["type"]), F.lit("Other")).alias("name"), e["count"].cast("int").alias("size"))))
     d = d.withColumn("_p", F.aggregate("_l", F.lit(1).cast("long"), lambda a, e: a * e["size"]))
     rest = F.floor(F.col("frames") / F.col("_p")).cast("int")

@@ -23,12 +23,16 @@ from planeweave.schema import PIXEL, PLANE
 AXES = (("y", "x"), ("x", "y"))  # (line key, position on the line): row pass, column pass
 
 
-def line(axis: tuple[str, str]) -> WindowSpec:
-    return Window.partitionBy(*PLANE, axis[0]).orderBy(axis[1])
+CHANNEL = [*PLANE, "channel"]
 
 
-def box(axis: tuple[str, str], radius: int) -> WindowSpec:
-    return line(axis).rangeBetween(-radius, radius)
+def line(axis: tuple[str, str], keys: list[str] = PLANE) -> WindowSpec:
+    """One line of one plane, or of each channel of it with ``keys=CHANNEL``."""
+    return Window.partitionBy(*keys, axis[0]).orderBy(axis[1])
+
+
+def box(axis: tuple[str, str], radius: int, keys: list[str] = PLANE) -> WindowSpec:
+    return line(axis, keys).rangeBetween(-radius, radius)
 
 
 def at(c: str, k: int, w: WindowSpec) -> Column:
@@ -42,8 +46,8 @@ def at_clamped(c: str, k: int, w: WindowSpec) -> Column:
     """As :func:`at`, repeating the edge sample outside."""
     if k == 0:
         return F.col(c)
-    edge = (F.first(c).over(w.rowsBetween(Window.unboundedPreceding, 0)) if k < 0
-            else F.last(c).over(w.rowsBetween(0, Window.unboundedFollowing)))
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)  # evaluated once per line
+    edge = (F.first(c) if k < 0 else F.last(c)).over(whole)
     return F.coalesce(at(c, k, w), edge)
 
 
@@ -65,7 +69,7 @@ def gaussian_blur(plane: DataFrame, sigma: float) -> DataFrame:
     kernel = gaussian_kernel(sigma)
     r = len(kernel) // 2
     for axis in AXES:
-        w = line(axis)
+        w = line(axis, CHANNEL)
         taps = [at_clamped("value", k, w).alias(f"_t{k + r}") for k in range(-r, r + 1)]
         plane = plane.select(*PIXEL, "channel", *taps)
         num = den = F.lit(0.0)
@@ -105,7 +109,7 @@ def extremum_filter(plane: DataFrame, radius: int, minimum: bool) -> DataFrame:
     pick = F.min if minimum else F.max
     for axis in AXES:
         plane = plane.select(*PIXEL, "channel",
-                             pick(only_finite("value")).over(box(axis, radius)).alias("value"))
+                             pick(only_finite("value")).over(box(axis, radius, CHANNEL)).alias("value"))
     return plane.withColumn("value", F.coalesce("value", nan()))
 
 
@@ -116,14 +120,14 @@ def subtract_background(plane: DataFrame, radius: float, light_background: bool
     for minimum in (True, False):
         pick = F.min if minimum else F.max
         for axis in AXES:
-            p = p.select(*PIXEL, "channel", "_v", pick(only_finite("value")).over(box(axis, r)).alias("value"))
+            p = p.select(*PIXEL, "channel", "_v", pick(only_finite("value")).over(box(axis, r, CHANNEL)).alias("value"))
     out = F.when(finite("_v"), (F.col("_v") - F.col("value")) * sign).otherwise(nan())
     return p.select(*PIXEL, "channel", f32(out).alias("value"))
 
 
 def gradient_magnitude(plane: DataFrame) -> DataFrame:
     """Central differences with clamped edges; 0 where any neighbour is not finite."""
-    row, column = line(AXES[0]), line(AXES[1])
+    row, column = line(AXES[0], CHANNEL), line(AXES[1], CHANNEL)
     n = plane.select(*PIXEL, "channel", "value",
                      F.coalesce(at("value", -1, row), "value").alias("l"), F.coalesce(at("value", 1, row), "value").alias("r"))
     n = n.select(*PIXEL, "channel", "l", "r",
@@ -273,7 +277,7 @@ FAR = 1e20
 def distance_transform(mask: DataFrame, planes: DataFrame) -> DataFrame:
     """Exact squared distance of every pixel to the nearest background pixel of its plane.
 
-    Pass 1 finds the nearest background in each column with ``last``/``first`` windows.
+    Pass 1 finds the nearest background in each column with ``last`` windows from either end.
     Pass 2 takes the lower envelope per row; a row is one array of at most ``width`` values.
     """
     grid = planes.select(*PLANE, "width", F.explode(F.expr("sequence(0, height - 1)")).alias("y")).withColumn(
@@ -281,7 +285,8 @@ def distance_transform(mask: DataFrame, planes: DataFrame) -> DataFrame:
     on = mask.select(*PIXEL).withColumn("_on", F.lit(1))
     d = grid.join(on, PIXEL, "left").withColumn("_bg", F.when(F.col("_on").isNull(), F.col("y")))
     up = F.last("_bg", ignorenulls=True).over(line(AXES[1]).rowsBetween(Window.unboundedPreceding, 0))
-    down = F.first("_bg", ignorenulls=True).over(line(AXES[1]).rowsBetween(0, Window.unboundedFollowing))
+    upward = Window.partitionBy(*PLANE, "x").orderBy(F.desc("y"))  # the same frame from below: no frame grows anew for each row
+    down = F.last("_bg", ignorenulls=True).over(upward.rowsBetween(Window.unboundedPreceding, 0))
     near = F.least(F.col("y") - up, down - F.col("y")).cast("double")
     d = d.select(*PIXEL, F.coalesce(near * near, F.lit(FAR)).alias("g"))
     rows = d.groupBy(*PLANE, "y").agg(F.transform(
@@ -295,15 +300,25 @@ def distance_transform(mask: DataFrame, planes: DataFrame) -> DataFrame:
 
 
 def _row_distances(g) -> np.ndarray:
-    """min over k of g[x+k] + k², widening k until it can no longer win."""
+    """min over x' of g[x'] + (x - x')², by the lower envelope of the parabolas: linear in the row.
+
+    The parabola of x' passes below that of p < x' from ``cross(p, x')`` on; a parabola that is
+    overtaken before it overtakes its predecessor is never lowest.
+    """
     g = np.asarray(g, dtype=float)
-    best = g.copy()
-    k = 1
-    while k < g.size and k * k < best.max():
-        np.minimum(best[k:], g[:-k] + k * k, out=best[k:])
-        np.minimum(best[:-k], g[k:] + k * k, out=best[:-k])
-        k += 1
-    return best
+    cross = lambda p, q: (g[q] + q * q - g[p] - p * p) / (2.0 * (q - p))
+    low: list[int] = []
+    since: list[float] = []
+    for x in range(g.size):
+        at = -np.inf
+        while low and (at := cross(low[-1], x)) <= since[-1]:
+            low.pop()
+            since.pop()
+        since.append(at if low else -np.inf)
+        low.append(x)
+    x = np.arange(g.size)
+    best = np.array(low)[np.searchsorted(np.array(since), x, side="right") - 1]
+    return g[best] + (x - best) ** 2.0
 
 
 def local_noise(seeds: DataFrame, plane: DataFrame, radius: int = 4) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from planeweave.functions.numeric import clamp, finite, half_up, nan, only_finite
 from planeweave.functions.values import _channel_value
-from planeweave.schema import PIXEL, PLANE
+from planeweave.schema import MEASURED_KEYS, PIXEL, PLANE
 
 BINS = 256
 
@@ -223,14 +223,10 @@ def group_summary(rows: DataFrame, keys: list[str], column: str) -> DataFrame:
     return g.where(F.col("n") > 0).withColumn("sem", F.col("sd") / F.sqrt(F.col("n").cast("double")))
 
 
-# Columns that identify a row rather than measure it (fixed values).
-IDENTIFIERS = ("roi_id", "image_id", "channel", "page", "group", "file_name", "roi_name", "roi_kind")
-
-
 def summary_all(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Group summary of every numeric column that is not an identifier."""
+    """Group summary of every numeric column that is no key of a measurement row."""
     numeric = [n for n, t in rows.dtypes
-               if t in ("double", "float", "int", "bigint", "smallint", "tinyint") and n not in (*IDENTIFIERS, *keys)]
+               if t in ("double", "float", "int", "bigint", "smallint", "tinyint") and n not in (*MEASURED_KEYS, *keys)]
     # Narrow to a common type, then turn columns into rows: values stay in one pass.
     long = rows.select(*keys, *[F.col(n).cast("double").alias(n) for n in numeric]).unpivot(
         list(keys), numeric, "column", "value")

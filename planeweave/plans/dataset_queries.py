@@ -18,7 +18,7 @@ _HDR = """hdr AS (SELECT '/s' || o_custkey || '/im' || (l_linenumber * 7 % 13) |
 
 
 def _headers(spark, sf):
-    li, o = views.spread(views.table(spark, sf, "lineitem")), views.table(spark, sf, "orders")
+    li, o = views.table(spark, sf, "lineitem"), views.table(spark, sf, "orders")
     return li.join(o, li.l_orderkey == o.o_orderkey).select(
         F.expr("concat('/s', o_custkey, '/im', l_linenumber * 7 % 13, '_', l_partkey, '_', l_suppkey, '.dcm')").alias("path"),
         F.expr("l_linenumber <> 7").alias("has_pixels"), F.col("o_orderkey").cast("string").alias("sop_uid"),
@@ -119,7 +119,7 @@ def d4(spark, sf):
 
 
 @query("d5_lookup_planes", f"""WITH {_ACQ}, sz AS (SELECT image_id, max(axis_t) AS t, max(axis_p) AS p, max(axis_z) AS z, max(axis_s) AS s, max(axis_frame) AS f FROM co GROUP BY ALL),
-rq AS (SELECT c_custkey AS request_id, c_custkey % 100 AS image_id, c_custkey % 7 AS wt, c_custkey % 9 - 2 AS wz, c_custkey % 4 AS wp FROM customer)
+rq AS (SELECT c_custkey AS request_id, c_custkey AS image_id, c_custkey % 7 AS wt, c_custkey % 9 - 2 AS wz, c_custkey % 4 AS wp FROM customer)
 SELECT request_id, image_id AS series_id, 'f' || co.frame AS resource FROM rq JOIN sz USING (image_id) JOIN co USING (image_id)
 WHERE (sz.t IS NULL OR co.axis_t = greatest(0, least(wt, sz.t))) AND (sz.p IS NULL OR co.axis_p = greatest(0, least(wp, sz.p))) AND (sz.z IS NULL OR co.axis_z = greatest(0, least(wz, sz.z))) AND (sz.s IS NULL OR co.axis_s = 0) AND (sz.f IS NULL OR co.axis_frame = 0)""")
 def d5(spark, sf):
@@ -128,22 +128,22 @@ def d5(spark, sf):
         "series_id", F.col("a.name").alias("axis"), "a.size")
     planes = D.loop_frames(a).select(F.col("image_id").alias("series_id"), "coordinates", F.expr("concat('f', frame)").alias("resource"), F.col("frame").alias("plane_order"))
     req = views.table(spark, sf, "customer").select(
-        F.col("c_custkey").alias("request_id"), F.expr("c_custkey % 100").alias("series_id"),
+        F.col("c_custkey").alias("request_id"), F.col("c_custkey").alias("series_id"),
         F.expr("map('T', cast(c_custkey % 7 as int), 'Z', cast(c_custkey % 9 - 2 as int), 'P', cast(c_custkey % 4 as int))").alias("coordinates"))
     return D.lookup_planes(req, axes, planes).select("request_id", "series_id", "resource")
 
 
-@query("d6_assemble_mosaic", f"""WITH {R1}, tl AS (SELECT 'm_' || (p_partkey // 50) AS image_id, p_partkey AS o, p_size * 3 + 100 AS x0, CAST((p_partkey % 10) * 6 AS INTEGER) AS y0, CAST(p_partkey % 7 AS INTEGER) AS pg FROM part),
+@query("d6_assemble_mosaic", f"""WITH {R1}, tl AS (SELECT 'm_' || (p_partkey // 50) AS image_id, p_partkey AS o, p_size * 3 + 100 AS x0, CAST((p_partkey % 10) * 6 AS INTEGER) AS y0, CAST(p_partkey % pl.n AS INTEGER) AS pg FROM part CROSS JOIN (SELECT max(vec_id) // 64 + 1 AS n FROM embeddings) pl),
 ex AS (SELECT image_id, min(x0) AS mx, min(y0) AS my, max(x0 + 8) - min(x0) AS w, max(y0 + 8) - min(y0) AS h FROM tl GROUP BY ALL),
 pv AS (SELECT tl.image_id, o, y0 - my + y AS y, x0 - mx + x AS x, value FROM tl JOIN ex USING (image_id) JOIN r1 ON r1.page = tl.pg AND y < 8 AND x < 8),
 win AS (SELECT image_id, y, x, arg_max(value, o) AS value FROM pv GROUP BY ALL)
 SELECT ex.image_id, 0 AS page, 0 AS channel, CAST(yy.i AS INTEGER) AS y, CAST(xx.i AS INTEGER) AS x, {rd("coalesce(value, 0)")} AS value FROM ex JOIN range(300) yy(i) ON yy.i < h JOIN range(300) xx(i) ON xx.i < w
 LEFT JOIN win ON win.image_id = ex.image_id AND win.y = yy.i AND win.x = xx.i""")
 def d6(spark, sf):
-    t = views.table(spark, sf, "part").select(
+    t = views.on_planes(views.table(spark, sf, "part"), "p_partkey", spark, sf).withColumnRenamed("page", "_src").select(
         F.expr("concat('m_', p_partkey div 50)").alias("image_id"), F.lit(0).alias("page"), F.col("p_partkey").alias("tile_order"),
         F.expr("p_size * 3 + 100").alias("x0"), F.expr("cast((p_partkey % 10) * 6 as int)").alias("y0"), F.lit(8).alias("w"), F.lit(8).alias("h"),
-        F.expr("cast(p_partkey % 7 as int)").alias("src"))
+        F.col("_src").alias("src"))
     s = views.float_stack(spark, sf).where("y < 8 and x < 8").select(F.col("page").alias("src"), "channel", "y", "x", "value")
     px = t.select(*PLANE, "tile_order", "src").join(s, "src").select(*PLANE, "tile_order", "channel", "y", "x", "value")
     return D.assemble_mosaic(t.drop("src"), px)[1].withColumn("value", rnd("value"))

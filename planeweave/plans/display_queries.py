@@ -68,11 +68,11 @@ def p3b(spark, sf):
 
 
 def _points_sql(name: str) -> str:
-    return "[" + ", ".join("[" + p + "]" for p in P.CONTROL_POINTS[name].split()) + "]"
+    return str([list(p) for p in P.CONTROL_POINTS[name]])
 
 
 def _lut_sql(name: str) -> str:
-    n = len(P.CONTROL_POINTS[name].split())
+    n = len(P.CONTROL_POINTS[name])
     ch = ", ".join(f"CAST(floor((pts[i0 + 1][{k}]::DOUBLE * (1 - f) + pts[least(i0 + 1, {n - 1}) + 1][{k}]::DOUBLE * f) * 255 + 0.5) AS INTEGER) AS {c}" for k, c in ((1, "cr"), (2, "cg"), (3, "cb")))
     return f"""lut AS MATERIALIZED (SELECT entry, {ch} FROM (SELECT CAST(k.i AS INTEGER) AS entry, CAST(floor((k.i / 255.0::DOUBLE) * {n - 1}) AS INTEGER) AS i0, (k.i / 255.0::DOUBLE) * {n - 1} - floor((k.i / 255.0::DOUBLE) * {n - 1}) AS f, {_points_sql(name)} AS pts FROM range(256) k(i)))"""
 

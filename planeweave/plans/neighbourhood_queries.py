@@ -14,6 +14,9 @@ from planeweave.schema import PIXEL, PLANE
 from planeweave.sources import views
 
 P2 = R2 + ", p AS MATERIALIZED (SELECT image_id, page, y, x, value FROM r2 WHERE channel = 0)"
+# Planes of all three channels: the page number carries the channel through the SQL.
+P3 = R2 + ", p AS MATERIALIZED (SELECT image_id, page * 3 + channel AS page, y, x, value FROM r2)"
+AT3 = "image_id, page // 3 AS page, CAST(page % 3 AS INTEGER) AS channel, y, x"
 P1 = R1 + ", p AS MATERIALIZED (SELECT image_id, page, y, x, value FROM r1)"
 VAL = f"CASE WHEN isfinite(value) THEN {rd('value', 4)} END AS value"
 
@@ -22,8 +25,12 @@ def _plane(spark, sf):
     return views.sparse_channels(spark, sf).where("channel = 0")
 
 
+def _channels(spark, sf):
+    return views.sparse_channels(spark, sf)
+
+
 def _out(df, digits=4):
-    return df.select(*PIXEL, rnd(nan_to_null("value"), digits).alias("value"))
+    return df.select(*PIXEL, "channel", rnd(nan_to_null("value"), digits).alias("value"))
 
 
 _K = "k AS (SELECT i AS k, exp(-(i * i) / 2.0::DOUBLE) / sum(exp(-(i * i) / 2.0::DOUBLE)) OVER () AS w FROM range(-3, 4) t(i))"
@@ -33,14 +40,14 @@ hz AS (SELECT p.image_id, p.page, p.y, p.x, {_SUM} FROM p CROSS JOIN k JOIN p s
 bl AS (SELECT p.image_id, p.page, p.y, p.x, {_SUM} FROM hz p CROSS JOIN k JOIN hz s ON s.image_id = p.image_id AND s.page = p.page AND s.x = p.x AND s.y = greatest(0, least(63, p.y + k)) GROUP BY ALL)"""
 
 
-@query("w1_gaussian_blur", f"WITH {P2}, {_BLUR} SELECT image_id, page, y, x, {VAL} FROM bl")
+@query("w1_gaussian_blur", f"WITH {P3}, {_BLUR} SELECT {AT3}, {VAL} FROM bl")
 def w1(spark, sf):
-    return _out(N.gaussian_blur(_plane(spark, sf), 1.0))
+    return _out(N.gaussian_blur(_channels(spark, sf), 1.0))
 
 
-@query("w1_gaussian_blur_sparse", f"WITH {P2}, {_BLUR} SELECT image_id, page, y, x, {VAL} FROM bl WHERE isfinite(value)")
+@query("w1_gaussian_blur_sparse", f"WITH {P3}, {_BLUR} SELECT {AT3}, {VAL} FROM bl WHERE isfinite(value)")
 def w1s(spark, sf):
-    s = _plane(spark, sf)
+    s = _channels(spark, sf)
     return _out(N.gaussian_blur_sparse(s.where(N.finite("value")), plane_headers(s), 1.0))
 
 
@@ -56,23 +63,23 @@ _MIN = "min(CASE WHEN isfinite(s.value) THEN s.value END) AS value"
 _MAX = "max(CASE WHEN isfinite(s.value) THEN s.value END) AS value"
 
 
-@query("w2_extremum_filter", f"WITH {P2}, {_box('p', 'e', 2, _MAX)} SELECT image_id, page, y, x, {rd('value')} AS value FROM e")
+@query("w2_extremum_filter", f"WITH {P3}, {_box('p', 'e', 2, _MAX)} SELECT {AT3}, {rd('value')} AS value FROM e")
 def w2(spark, sf):
-    return _out(N.extremum_filter(_plane(spark, sf), 2, minimum=False), 6)
+    return _out(N.extremum_filter(_channels(spark, sf), 2, minimum=False), 6)
 
 
-@query("w3_subtract_background", f"""WITH {P2}, {_box('p', 'e', 2, _MIN)}, {_box('e', 'o', 2, _MAX)}
-SELECT image_id, page, y, x, CASE WHEN isfinite(p.value) THEN {rd("CAST(p.value - o.value AS FLOAT)::DOUBLE", 4)} END AS value FROM p JOIN o USING (image_id, page, y, x)""")
+@query("w3_subtract_background", f"""WITH {P3}, {_box('p', 'e', 2, _MIN)}, {_box('e', 'o', 2, _MAX)}
+SELECT {AT3}, CASE WHEN isfinite(p.value) THEN {rd("CAST(p.value - o.value AS FLOAT)::DOUBLE", 4)} END AS value FROM p JOIN o USING (image_id, page, y, x)""")
 def w3(spark, sf):
-    return _out(N.subtract_background(_plane(spark, sf), 2.2))
+    return _out(N.subtract_background(_channels(spark, sf), 2.2))
 
 
-@query("w4_gradient", f"""WITH {P2},
+@query("w4_gradient", f"""WITH {P3},
 g AS (SELECT image_id, page, y, x, coalesce(lag(value) OVER ro, value) AS l, coalesce(lead(value) OVER ro, value) AS r, coalesce(lag(value) OVER co, value) AS u, coalesce(lead(value) OVER co, value) AS d
   FROM p WINDOW ro AS (PARTITION BY image_id, page, y ORDER BY x), co AS (PARTITION BY image_id, page, x ORDER BY y))
-SELECT image_id, page, y, x, CASE WHEN isfinite(l) AND isfinite(r) AND isfinite(u) AND isfinite(d) THEN {rd("CAST(sqrt(((r - l) / 2) * ((r - l) / 2) + ((d - u) / 2) * ((d - u) / 2)) AS FLOAT)::DOUBLE", 4)} ELSE 0 END AS value FROM g""")
+SELECT {AT3}, CASE WHEN isfinite(l) AND isfinite(r) AND isfinite(u) AND isfinite(d) THEN {rd("CAST(sqrt(((r - l) / 2) * ((r - l) / 2) + ((d - u) / 2) * ((d - u) / 2)) AS FLOAT)::DOUBLE", 4)} ELSE 0 END AS value FROM g""")
 def w4(spark, sf):
-    return _out(N.gradient_magnitude(_plane(spark, sf)))
+    return _out(N.gradient_magnitude(_channels(spark, sf)))
 
 
 _REFL = """rg AS (SELECT image_id, page, min(value) AS lo, max(value) AS hi FROM p WHERE isfinite(value) GROUP BY ALL),
@@ -127,14 +134,13 @@ def w7(spark, sf):
     return N.local_auto_threshold(s, plane_headers(s), "otsu", 8)
 
 
-def _cfa(cells: str, period: int, x: str = "x", y: str = "y") -> str:
-    lst = "[" + ",".join(c for c in cells if c != " ") + "]"
-    return f"{lst}[({y} % {period}) * {period} + {x} % {period} + 1]"
+def _cfa(pattern: str, x: str = "x", y: str = "y") -> str:
+    period, cells, _ = D.layout(pattern)
+    return f"{cells}[({y} % {period}) * {period} + {x} % {period} + 1]"
 
 
 def _bilinear(pattern: str, r: int) -> str:
-    period, cells = D.LAYOUTS[pattern]
-    return f"""m AS MATERIALIZED (SELECT *, {_cfa(cells, period)} AS cfa FROM p),
+    return f"""m AS MATERIALIZED (SELECT *, {_cfa(pattern)} AS cfa FROM p),
 mo AS MATERIALIZED (SELECT m.*, dy, dx, y + dy AS ny, x + dx AS nx FROM m CROSS JOIN range(-{r}, {r + 1}) a(dy) CROSS JOIN range(-{r}, {r + 1}) b(dx)),
 fl AS (SELECT p.image_id, p.page, p.y, p.x, p.cfa, c.c AS channel, p.value AS own,
    sum(s.value * ({r + 1} - abs(dx)) * ({r + 1} - abs(dy))) FILTER (s.cfa = c.c) / sum(({r + 1} - abs(dx)) * ({r + 1} - abs(dy))) FILTER (s.cfa = c.c) AS v
@@ -152,7 +158,7 @@ def w8(spark, sf):
     return _mosaic(spark, sf, pattern="xtrans", algorithm="bilinear")
 
 
-@query("w8_demosaic_nearest", f"""WITH {P1}, m AS MATERIALIZED (SELECT *, {_cfa(D.LAYOUTS['rgbi_4x4'][1], 4)} AS cfa FROM p),
+@query("w8_demosaic_nearest", f"""WITH {P1}, m AS MATERIALIZED (SELECT *, {_cfa('rgbi_4x4')} AS cfa FROM p),
 mo AS MATERIALIZED (SELECT m.*, dy, dx, y + dy AS ny, x + dx AS nx FROM m CROSS JOIN range(-2, 3) a(dy) CROSS JOIN range(-2, 3) b(dx)),
 c AS (SELECT p.image_id, p.page, p.y, p.x, s.cfa AS channel, s.value, row_number() OVER (PARTITION BY p.image_id, p.page, p.y, p.x, s.cfa ORDER BY abs(dx) + abs(dy), dy, dx) AS rk
   FROM mo p JOIN m s ON s.image_id = p.image_id AND s.page = p.page AND s.y = ny AND s.x = nx)
@@ -171,7 +177,7 @@ _COEF = {  # kernel name -> weight by (|dx|, |dy|), in eighths
 
 
 @query("w9_demosaic_malvar", f"""WITH {P1}, hd AS (SELECT image_id, page, max(x) AS mx, max(y) AS my FROM p GROUP BY ALL),
-m AS MATERIALIZED (SELECT p.*, mx, my, {_cfa('01 12', 2)} AS cfa FROM p JOIN hd USING (image_id, page)),
+m AS MATERIALIZED (SELECT p.*, mx, my, {_cfa('rggb')} AS cfa FROM p JOIN hd USING (image_id, page)),
 mo AS MATERIALIZED (SELECT m.*, dy, dx, CASE WHEN y + dy > my THEN 2 * my - y - dy ELSE abs(y + dy) END AS ny, CASE WHEN x + dx > mx THEN 2 * mx - x - dx ELSE abs(x + dx) END AS nx
   FROM m CROSS JOIN range(-2, 3) a(dy) CROSS JOIN range(-2, 3) b(dx)),
 t AS (SELECT p.image_id, p.page, p.y, p.x, any_value(p.cfa) AS cfa, any_value(p.value) AS own, {", ".join(f"sum(s.value * ({c})::DOUBLE) / 8 AS {n}" for n, c in _COEF.items())}
@@ -182,7 +188,7 @@ def w9(spark, sf):
     return _mosaic(spark, sf, pattern="rggb", algorithm="malvar")
 
 
-@query("w10_level_balance", f"""WITH {P1}, m AS (SELECT *, {_cfa('01 12', 2)} AS cfa, (value + 1) * (1 / 2.0::DOUBLE) AS v FROM p),
+@query("w10_level_balance", f"""WITH {P1}, m AS (SELECT *, {_cfa('rggb')} AS cfa, (value + 1) * (1 / 2.0::DOUBLE) AS v FROM p),
 g AS (SELECT image_id, page, avg(v) FILTER (cfa = 0) AS m0, avg(v) FILTER (cfa = 1) AS m1, avg(v) FILTER (cfa = 2) AS m2 FROM m GROUP BY ALL)
 SELECT image_id, page, y, x, cfa, {rd("v * CASE cfa WHEN 0 THEN m1 / m0 WHEN 1 THEN 1 ELSE m1 / m2 END")} AS value FROM m JOIN g USING (image_id, page)""")
 def w10(spark, sf):
@@ -204,13 +210,13 @@ def w11(spark, sf):
 
 
 @query("w12_local_noise", f"""WITH {P1},
-sd AS (SELECT c_custkey AS seed_id, 'emb_0' AS image_id, CAST(c_custkey % 8 AS INTEGER) AS page, CAST(c_custkey * 3 % 64 AS INTEGER) AS y, CAST(c_custkey * 7 % 64 AS INTEGER) AS x FROM customer),
+sd AS (SELECT c_custkey AS seed_id, 'emb_' || ((c_custkey % pl.n) // 8) AS image_id, CAST(c_custkey % pl.n AS INTEGER) AS page, CAST(c_custkey * 3 % 64 AS INTEGER) AS y, CAST(c_custkey * 7 % 64 AS INTEGER) AS x FROM customer CROSS JOIN (SELECT max(vec_id) // 64 + 1 AS n FROM embeddings) pl),
 v AS (SELECT sd.seed_id, sd.page, list_sort(list(p.value)) AS v FROM sd JOIN p ON p.image_id = sd.image_id AND p.page = sd.page AND abs(p.y - sd.y) <= 4 AND abs(p.x - sd.x) <= 4 GROUP BY ALL),
 u AS (SELECT seed_id, page, v[len(v) // 2 + 1] AS m, unnest(v) AS e FROM v),
 d AS (SELECT seed_id, page, list_sort(list(abs(e - m))) AS d FROM u GROUP BY ALL)
 SELECT sd.seed_id, sd.image_id, sd.page, {rd("CASE WHEN len(d) >= 3 THEN d[len(d) // 2 + 1] * 1.4826::DOUBLE ELSE 0 END")} AS noise FROM sd LEFT JOIN d USING (seed_id)""")
 def w12(spark, sf):
-    seeds = views.table(spark, sf, "customer").select(
-        F.col("c_custkey").alias("seed_id"), F.lit("emb_0").alias("image_id"), F.expr("cast(c_custkey % 8 as int)").alias("page"),
+    seeds = views.on_planes(views.table(spark, sf, "customer"), "c_custkey", spark, sf).select(
+        F.col("c_custkey").alias("seed_id"), "image_id", "page",
         F.expr("cast(c_custkey * 3 % 64 as int)").alias("y"), F.expr("cast(c_custkey * 7 % 64 as int)").alias("x"))
     return N.local_noise(seeds, views.float_stack(spark, sf)).withColumn("noise", rnd("noise"))

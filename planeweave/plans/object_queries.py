@@ -124,7 +124,7 @@ def g9(spark, sf):
     return r.select(*PLANE, "label", "kind", "x", "y", "width", "height", total.alias("run_total"), on.alias("on_total"))
 
 
-_SEED = """sd AS (SELECT s_suppkey AS seed_id, 'emb_0' AS image_id, CAST(s_suppkey % 7 AS INTEGER) AS page, CAST(s_suppkey * 3 % 64 AS INTEGER) AS y, CAST(s_suppkey * 7 % 64 AS INTEGER) AS x FROM supplier)"""
+_SEED = """sd AS (SELECT s_suppkey AS seed_id, 'emb_' || ((s_suppkey % pl.n) // 8) AS image_id, CAST(s_suppkey % pl.n AS INTEGER) AS page, CAST(s_suppkey * 3 % 64 AS INTEGER) AS y, CAST(s_suppkey * 7 % 64 AS INTEGER) AS x FROM supplier CROSS JOIN (SELECT max(vec_id) // 64 + 1 AS n FROM embeddings) pl)"""
 
 
 def _grow_sql(tol: str) -> str:
@@ -133,12 +133,12 @@ def _grow_sql(tol: str) -> str:
   SELECT seed_id, step, page, y, x FROM tl
   UNION
   SELECT g.seed_id, g.step, g.page, p.y, p.x FROM (SELECT g.*, t.tol, t.v0, g.y + dy AS ny, g.x + dx AS nx FROM gr g JOIN tl t USING (seed_id, step) CROSS JOIN range(-1, 2) a(dy) CROSS JOIN range(-1, 2) b(dx)) g
-    JOIN r1 p ON p.image_id = 'emb_0' AND p.page = g.page AND p.y = g.ny AND p.x = g.nx WHERE abs(p.value - g.v0) <= g.tol)"""
+    JOIN r1 p ON p.page = g.page AND p.y = g.ny AND p.x = g.nx WHERE abs(p.value - g.v0) <= g.tol)"""
 
 
 def _seeds(spark, sf):
-    return views.table(spark, sf, "supplier").select(
-        F.col("s_suppkey").alias("seed_id"), F.lit("emb_0").alias("image_id"), F.expr("cast(s_suppkey % 7 as int)").alias("page"),
+    return views.on_planes(views.table(spark, sf, "supplier"), "s_suppkey", spark, sf).select(
+        F.col("s_suppkey").alias("seed_id"), "image_id", "page",
         F.expr("cast(s_suppkey * 3 % 64 as int)").alias("y"), F.expr("cast(s_suppkey * 7 % 64 as int)").alias("x"))
 
 
@@ -148,7 +148,7 @@ _R1M = R1.replace("r1 AS (", "r1 AS MATERIALIZED (")
 @query("g7_grow_regions", f"""WITH RECURSIVE {_R1M}, {_SEED},
 tl AS MATERIALIZED (SELECT sd.*, 0 AS step, 0.03::DOUBLE AS tol, r1.value AS v0 FROM sd JOIN r1 USING (image_id, page, y, x)),
 {_grow_sql('tol')}
-SELECT 'emb_0' AS image_id, page, seed_id, min(x) AS bx, min(y) AS by, max(x) - min(x) + 1 AS width, max(y) - min(y) + 1 AS height, count(*) AS area, count(*) > 2048 AS leaked FROM gr GROUP BY ALL""")
+SELECT 'emb_' || (page // 8) AS image_id, page, seed_id, min(x) AS bx, min(y) AS by, max(x) - min(x) + 1 AS width, max(y) - min(y) + 1 AS height, count(*) AS area, count(*) > 2048 AS leaked FROM gr GROUP BY ALL""")
 def g7(spark, sf):
     return O.grow_regions(_seeds(spark, sf), views.float_stack(spark, sf), _planes(spark, sf), tolerance=0.03)
 
@@ -164,7 +164,7 @@ ar AS (SELECT seed_id, step, page, count(*) AS area FROM gr GROUP BY ALL),
 lk AS (SELECT *, max(CASE WHEN area > 2048 THEN 1 ELSE 0 END) OVER (PARTITION BY seed_id ORDER BY step) AS leak FROM ar),
 cd AS (SELECT *, row_number() OVER (PARTITION BY seed_id ORDER BY step) AS k, count(*) OVER (PARTITION BY seed_id) AS n, lead(area) OVER (PARTITION BY seed_id ORDER BY step) AS nx FROM lk WHERE leak = 0),
 pk AS (SELECT *, row_number() OVER (PARTITION BY seed_id ORDER BY CASE WHEN n <= 2 THEN -k::DOUBLE WHEN area >= 12 AND nx IS NOT NULL THEN (nx - area)::DOUBLE / area ELSE 1e18::DOUBLE END, k) AS rk FROM cd)
-SELECT 'emb_0' AS image_id, sd.page, sd.seed_id, pk.step, {rd("tl.tol")} AS tolerance, pk.area FROM sd LEFT JOIN pk ON pk.seed_id = sd.seed_id AND rk = 1 LEFT JOIN tl ON tl.seed_id = pk.seed_id AND tl.step = pk.step""")
+SELECT 'emb_' || (sd.page // 8) AS image_id, sd.page, sd.seed_id, pk.step, {rd("tl.tol")} AS tolerance, pk.area FROM sd LEFT JOIN pk ON pk.seed_id = sd.seed_id AND rk = 1 LEFT JOIN tl ON tl.seed_id = pk.seed_id AND tl.step = pk.step""")
 def g8(spark, sf):
     return O.grow_regions_auto(_seeds(spark, sf), views.float_stack(spark, sf), _planes(spark, sf)).withColumn("tolerance", rnd("tolerance"))
 

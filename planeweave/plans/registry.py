@@ -57,12 +57,12 @@ ROIS = """rois AS (
     WHEN 'polyline' THEN [x, y, x + width, y + 2, x + width, y + height, x + 1, y + height + 2]
     WHEN 'point' THEN [x, y, x + width, y + height, x + 2.5, y - 1.5] END AS points
   FROM (
-    SELECT s_suppkey AS roi_id, 'emb_' || ((s_suppkey % 8) // 8) AS image_id, CAST(s_suppkey % 8 AS INTEGER) AS page,
+    SELECT s_suppkey AS roi_id, 'emb_' || ((s_suppkey % pl.n) // 8) AS image_id, CAST(s_suppkey % pl.n AS INTEGER) AS page,
            ['rect','ellipse','polygon','line','polyline','point'][s_suppkey % 6 + 1] AS kind,
            CAST(s_suppkey * 7 % 50 AS DOUBLE) + 0.25::DOUBLE AS x, CAST(s_suppkey * 11 % 50 AS DOUBLE) + 0.5::DOUBLE AS y,
            CAST(4 + s_suppkey % 13 AS DOUBLE) AS width, CAST(5 + s_suppkey % 9 AS DOUBLE) AS height,
            CAST(s_suppkey % 3 AS DOUBLE) * 15 AS angle, CAST(1 + s_suppkey % 3 AS INTEGER) AS line_width
-    FROM supplier))"""
+    FROM supplier CROSS JOIN (SELECT max(vec_id) // 64 + 1 AS n FROM embeddings) pl))"""
 
 # 256-bin histogram of every float-stack plane, all bins present.
 HIST = R1 + """,

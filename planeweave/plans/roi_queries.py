@@ -200,7 +200,7 @@ def j11(spark, sf):
     return g.select("roi_id", *PLANE, "channel", "kind", "pixel_count", "area", "non_finite_count", *[rnd(c, 9).alias(c) for c in num])
 
 
-_PTS = """pts AS (SELECT c_custkey AS point_id, 'emb_0' AS image_id, CAST(c_custkey % 8 AS INTEGER) AS page, (c_custkey * 37 % 640) / 10.0::DOUBLE AS px, (c_custkey * 53 % 640) / 10.0::DOUBLE AS py FROM customer)"""
+_PTS = """pts AS (SELECT c_custkey AS point_id, 'emb_' || ((c_custkey % pl.n) // 8) AS image_id, CAST(c_custkey % pl.n AS INTEGER) AS page, (c_custkey * 37 % 640) / 10.0::DOUBLE AS px, (c_custkey * 53 % 640) / 10.0::DOUBLE AS py FROM customer CROSS JOIN (SELECT max(vec_id) // 64 + 1 AS n FROM embeddings) pl)"""
 _HIT = f"""{ROIS}, {outline_sql(96)}, {_PTS},
 bb AS MATERIALIZED (SELECT roi_id, image_id, page, kind, min(vx) - 3 AS x0, max(vx) + 3 AS x1, min(vy) - 3 AS y0, max(vy) + 3 AS y1 FROM ov GROUP BY ALL),
 cand AS MATERIALIZED (SELECT point_id, px, py, bb.* FROM pts JOIN bb USING (image_id, page) WHERE px BETWEEN x0 AND x1 AND py BETWEEN y0 AND y1),
@@ -211,8 +211,8 @@ ht AS (SELECT point_id, ee.roi_id, ee.image_id, ee.page, px, py, min(sqrt((ax +
 
 
 def _points(spark, sf):
-    return views.table(spark, sf, "customer").select(
-        F.col("c_custkey").alias("point_id"), F.lit("emb_0").alias("image_id"), F.expr("cast(c_custkey % 8 as int)").alias("page"),
+    return views.on_planes(views.table(spark, sf, "customer"), "c_custkey", spark, sf).select(
+        F.col("c_custkey").alias("point_id"), "image_id", "page",
         F.expr("(c_custkey * 37 % 640) / 10D").alias("px"), F.expr("(c_custkey * 53 % 640) / 10D").alias("py"))
 
 

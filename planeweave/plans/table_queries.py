@@ -16,7 +16,7 @@ from planeweave.sources import tables as S
 from planeweave.sources import views
 
 _EXT = "lower(regexp_extract(regexp_extract(path, '([^/]*)$', 1), '^.+\\.([^.]*)$', 1))"
-_KINDS = "(VALUES " + ", ".join(f"('{e}', '{k}')" for k, es in X.FORMATS.items() for e in es.split()) + ") k(ext, kx)"
+_KINDS = "(VALUES " + ", ".join(f"('{e}', '{k}')" for k, es in X.FORMATS.items() for e in es) + ") k(ext, kx)"
 
 
 @query("s2_route_formats", f"""WITH {NAMES}
@@ -32,18 +32,22 @@ def s3(spark, sf):
     return X.select_paths(views.file_names(spark, sf), "path", "/DATA/*/??_[0-5]*{.tif,.png,.[!a-m]*}", None).select("page_id", "path")
 
 
+NATURAL = """array_to_string(list_transform(regexp_extract_all(lower(path), '[0-9]+|[^0-9]+'), lambda r: CASE WHEN regexp_matches(r, '^[0-9]')
+  THEN lpad(CAST(length(regexp_replace(r, '^0+([0-9])', '\\1')) AS VARCHAR), 8, '0') || regexp_replace(r, '^0+([0-9])', '\\1') ELSE r END), '')"""
+
+
 @query("o1_natural_sort", f"""WITH {NAMES}
-SELECT page_id, path, regexp_replace(regexp_replace(lower(path), '([0-9]+)', '00000000000000000000\\1', 'g'), '[0-9]*([0-9]{{20}})', '\\1', 'g') AS sort_key FROM fn""")
+SELECT page_id, path, {NATURAL} AS sort_key FROM fn""")
 def o1(spark, sf):
     return views.file_names(spark, sf).select(
-        "page_id", "path", X.natural_key("path").alias("sort_key")).orderBy("sort_key", "path")
+        "page_id", "path", X.natural_key("path").alias("sort_key"))
 
 
 @query("o2_result_cap", f"""WITH {NAMES},
-k AS (SELECT page_id, path, regexp_replace(regexp_replace(lower(path), '([0-9]+)', '00000000000000000000\\1', 'g'), '[0-9]*([0-9]{{20}})', '\\1', 'g') AS sk FROM fn)
-SELECT page_id, path FROM k WHERE path LIKE '/data/%/%.tif' ORDER BY sk, path LIMIT 2000""")
+k AS (SELECT page_id, path, {NATURAL} AS sk FROM fn)
+SELECT page_id, path FROM k WHERE path LIKE '/data/%/%.tif' ORDER BY sk, path LIMIT 20""")
 def o2(spark, sf):
-    return X.select_paths(views.file_names(spark, sf), "path", "/data/*/*.tif").select("page_id", "path")
+    return X.select_paths(views.file_names(spark, sf), "path", "/data/*/*.tif", 20).select("page_id", "path")
 
 
 @query("o3_top1_bin", f"""WITH {HIST}, r AS (SELECT *, row_number() OVER (PARTITION BY image_id, page ORDER BY n DESC, bin) AS rk FROM h)
@@ -154,7 +158,7 @@ UNION ALL SELECT event_id, 'meta', 'deep.a.b', CAST(event_id AS VARCHAR) FROM ev
 def s6(spark, sf):
     o = views.table(spark, sf, "events").select("event_id", F.expr(
         """concat('{"type":"', event_type, '","lens":', props, ',"none":null,"pos":[', user_id, ',2],"deep":{"a":{"b":', event_id, '}}}')""").alias("json"))
-    return S.tag_rows(o, "meta", keys=("event_id",), max_depth=4)
+    return S.tag_rows(o, "meta", keys=("event_id",), )
 
 
 _OBJ = R1 + ", m AS (SELECT page AS obj, y, x FROM r1 WHERE value > 0.1)"

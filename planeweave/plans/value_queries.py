@@ -112,12 +112,13 @@ def v10(spark, sf):
 
 
 @query("v11_inspect_points", f"""WITH {R2},
-pts AS (SELECT c_custkey AS point_id, 'li_0' AS image_id, 0 AS page, CAST(c_custkey % 64 AS INTEGER) AS y, CAST(c_custkey * 5 % 64 AS INTEGER) AS x FROM customer)
+pts AS (SELECT c_custkey AS point_id, 'li_' || ((c_custkey % pl.n) // 8) AS image_id, CAST(c_custkey % pl.n AS INTEGER) AS page, CAST(c_custkey % 64 AS INTEGER) AS y, CAST(c_custkey * 5 % 64 AS INTEGER) AS x FROM customer CROSS JOIN (SELECT max(l_orderkey) // 4096 + 1 AS n FROM lineitem) pl)
 SELECT point_id, image_id, page, y, x, list(CASE WHEN isfinite(value) THEN {rd("value")} END ORDER BY channel) AS values
 FROM pts JOIN r2 USING (image_id, page, y, x) GROUP BY ALL""")
 def v11(spark, sf):
-    pts = views.table(spark, sf, "customer").select(
-        F.col("c_custkey").alias("point_id"), F.lit("li_0").alias("image_id"), F.lit(0).alias("page"),
+    planes = views.table(spark, sf, "lineitem").agg(F.expr("max(l_orderkey) div 4096 + 1").alias("_planes"))
+    pts = views.table(spark, sf, "customer").crossJoin(F.broadcast(planes)).select(
+        F.col("c_custkey").alias("point_id"), F.expr("concat('li_', (c_custkey % _planes) div 8)").alias("image_id"), F.expr("cast(c_custkey % _planes as int)").alias("page"),
         F.expr("cast(c_custkey % 64 as int)").alias("y"), F.expr("cast(c_custkey * 5 % 64 as int)").alias("x"))
     out = V.inspect_points(views.sparse_channels(spark, sf), pts)
     return out.withColumn("values", F.transform("values", lambda v: rnd(nan_to_null(v))))

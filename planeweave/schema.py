@@ -6,6 +6,9 @@ PLANE = ["image_id", "page"]
 PIXEL = ["image_id", "page", "y", "x"]
 SAMPLE = ["image_id", "page", "channel", "y", "x"]
 
+# Keys of a measurement row: where it was measured, and on what object.
+MEASURED_KEYS = [*PLANE, "channel", "roi_id"]
+
 SAMPLES_DDL = "image_id string, page int, channel int, y int, x int, value double"
 TILES_DDL = (
     "image_id string, page int, channel int, ty int, tx int, "

@@ -51,21 +51,19 @@ def write_sidecars(rois: DataFrame, path: str | None = None) -> DataFrame:
     return docs
 
 
-def tag_rows(objects: DataFrame, group: str, json: str = "json", keys: Sequence[str] = ("image_id",),
-             max_depth: int = 8) -> DataFrame:
+def tag_rows(objects: DataFrame, group: str, json: str = "json", keys: Sequence[str] = ("image_id",)) -> DataFrame:
     """Nested JSON objects as ``(keys, tag_group, name, value)`` rows with dotted names.
 
-    Each level explodes the maps of the level before; levels end where values are no
-    objects. Absent values give no row, lists become comma-separated text.
+    Each level explodes the maps of the level before, until no value is an object; a job per level
+    asks whether there is a next. Absent values give no row, lists become comma-separated text.
     """
     level = objects.select(*keys, F.lit("").alias("prefix"), F.col(json).alias("v"))
     nested, out = F.col("v").startswith("{"), None
-    for depth in range(max_depth):
+    while out is None or level.limit(1).count():
         kids = level.select(*keys, "prefix", F.explode(F.from_json("v", "map<string,string>")).alias("k", "v")).select(
             *keys, F.when(F.col("prefix") == "", F.col("k")).otherwise(F.concat_ws(".", "prefix", "k")).alias("prefix"), "v"
         ).where(F.col("v").isNotNull())
-        last = depth == max_depth - 1
-        leaves = kids if last else kids.where(~nested)
+        leaves = kids.where(~nested)
         out = leaves if out is None else out.unionByName(leaves)
         level = kids.where(nested)
     as_list = F.array_join(F.from_json("v", "array<string>"), ", ")

@@ -17,13 +17,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores on a table that arrives as fewer splits (one small file is one task);
-    tables of many files are left as they are."""
-    wanted = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df
-
-
 def float_stack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """64 x 64 float planes: 64 vectors make one plane, one vector one line."""
     return table(spark, sf_dir, "embeddings").select(
@@ -87,7 +80,7 @@ def bench_raster(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def result_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as measurement rows: one row per object, grouped by order priority."""
-    li, o = spread(table(spark, sf_dir, "lineitem")), table(spark, sf_dir, "orders")
+    li, o = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
     return li.join(o, li.l_orderkey == o.o_orderkey).select(
         F.expr("concat('img_', l_suppkey)").alias("image_id"),
         F.expr("concat(l_orderkey, '-', l_partkey, '-', l_linenumber)").alias("roi_id"),
@@ -100,13 +93,23 @@ def result_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def on_planes(df: DataFrame, key: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``image_id, page`` for each row, keys dealt in turn to all planes of the float stack.
+
+    The number of planes is one row, joined by broadcast.
+    """
+    planes = table(spark, sf_dir, "embeddings").agg(F.expr("max(vec_id) div 64 + 1").alias("_planes"))
+    page = F.expr(f"{key} % _planes")
+    return df.crossJoin(F.broadcast(planes)).withColumns({"page": page.cast("int"), "image_id": F.concat(F.lit("emb_"), F.expr(f"({key} % _planes) div 8"))}).drop("_planes")
+
+
 def roi_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One ROI per supplier on the float stack, kinds in turn."""
+    """One ROI per supplier on the float stack, planes and kinds in turn."""
     k = "s_suppkey"
-    return table(spark, sf_dir, "supplier").select(
+    return on_planes(table(spark, sf_dir, "supplier"), k, spark, sf_dir).select(
         F.col(k).alias("roi_id"),
-        F.expr(f"concat('emb_', ({k} % 8) div 8)").alias("image_id"),
-        F.expr(f"cast({k} % 8 as int)").alias("page"),
+        "image_id",
+        "page",
         F.expr(f"element_at(array('rect','ellipse','polygon','line','polyline','point'), cast({k} % 6 as int) + 1)").alias("kind"),
         F.expr(f"cast({k} * 7 % 50 as double) + 0.25").alias("x"),
         F.expr(f"cast({k} * 11 % 50 as double) + 0.5").alias("y"),
