@@ -220,8 +220,45 @@ def test_two_discs_split_by_shape(spark):
     assert components.label_components(s).select("label").distinct().count() == 1
     split = objects.split_by_shape(s, planes)
     assert components.label_components(split).select("label").distinct().count() == 2
-    whole = objects.watershed(s, s.withColumn("height", F.col("x").cast("double")), 0.5, max_object=10)
-    assert whole.where("skipped").count() == s.count()
+
+
+def _basins(pixels, tolerance):
+    """Basins by steepest ascent, merged saddle by saddle from the highest, one after the other."""
+    lo, hi = min(pixels.values()), max(pixels.values())
+    rank = {p: (math.floor((v - lo) * (4095.0 / (hi - lo)) + 0.5), -p[0], -p[1]) for p, v in pixels.items()}
+    near = lambda p: [(p[0] + dy, p[1] + dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if (dy or dx) and (p[0] + dy, p[1] + dx) in pixels]
+
+    def top(p):
+        best = max([p, *near(p)], key=rank.get)
+        return p if best == p else top(best)
+
+    tops = {p: top(p) for p in pixels}
+    saddle = {}
+    for p in pixels:
+        for q in near(p):
+            if rank[tops[p]] < rank[tops[q]]:
+                k = (tops[p], tops[q])
+                saddle[k] = max(saddle.get(k, -math.inf), min(pixels[p], pixels[q]))
+    boss = {t: t for t in tops.values()}
+    for (a, b), s in sorted(saddle.items(), key=lambda e: (e[1], rank[e[0][0]], rank[e[0][1]]), reverse=True):
+        x, y = boss[a], boss[b]
+        if x != y and min(pixels[x], pixels[y]) - s <= tolerance:
+            keep, lose = (x, y) if (pixels[x], rank[x]) > (pixels[y], rank[y]) else (y, x)
+            boss = {t: keep if r == lose else r for t, r in boss.items()}
+    return {p: None if any(boss[tops[q]] != boss[tops[p]] and rank[q] > rank[p] for q in near(p)) else boss[tops[p]] for p in pixels}
+
+
+@pytest.mark.parametrize("tolerance, in_one_call", [(0.15, 50_000), (0.3, 0)])
+def test_watershed_against_one_saddle_at_a_time(spark, monkeypatch, tolerance, in_one_call):
+    monkeypatch.setattr(objects, "SADDLES_PER_CALL", in_one_call)
+    rng = np.random.default_rng(11)
+    grid = np.round(rng.random((9, 10)), 3)
+    s = raster(spark, grid.tolist())
+    mask_px = s.select(*PIXEL)
+    got = {(r.y, r.x): r.basin for r in objects.watershed(mask_px, s.select(*PIXEL, F.col("value").alias("height")), tolerance).collect()}
+    want = _basins({(y, x): float(grid[y, x]) for y in range(9) for x in range(10)}, tolerance)
+    assert {p for p, b in got.items() if b == 0} == {p for p, b in want.items() if b is None}
+    assert len({(got[p], want[p]) for p in got if got[p]}) == len({b for b in got.values() if b}) == len({b for b in want.values() if b})
 
 
 def test_hole_is_filled_and_bay_is_not(spark):
@@ -281,7 +318,18 @@ def test_disc_contour_is_round(spark):
     c = rois.mask_contours(s, [*PLANE, "label"]).first()
     area = s.count()
     assert 0.9 < 4 * math.pi * area / c["perimeter"] ** 2 < 1.1
-    assert rois.mask_contours(s, [*PLANE, "label"], max_pixels=3).first()["skipped"]
+
+
+@pytest.mark.parametrize("rows, contour", [
+    (["#"], [(0, 0)]), (["##"], [(0, 0), (1, 0)]), (["#.", ".#"], [(0, 0), (1, 1)]),
+    (["###", "#.#", "###"], [(0, 0), (1, 0), (2, 0), (2, 1), (2, 2), (1, 2), (0, 2), (0, 1)]),
+    (["##..#", "##..#"], [(0, 0), (1, 0), (1, 1), (0, 1)]), (["..#", "##.", "..#"], [(2, 0), (1, 1), (2, 2), (1, 1), (0, 1), (1, 1)]),
+])
+def test_contours_of_small_masks(spark, rows, contour):
+    got = rois.mask_contours(mask(spark, rows).withColumn("label", F.lit(1)), [*PLANE, "label"]).first()
+    assert list(zip(got["contour"][::2], got["contour"][1::2])) == contour
+    turn = [(a, b) for a, b in zip(contour, contour[1:] + contour[:1]) if len(contour) > 1]
+    assert got["perimeter"] == pytest.approx(sum(1.34 if a[0] != b[0] and a[1] != b[1] else 0.948 for a, b in turn))
 
 
 def test_feret_of_a_rectangle():
