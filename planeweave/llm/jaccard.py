@@ -12,8 +12,8 @@ The pieces, each a Spark job over rows that it shuffles by key:
    block; each set is compared with the leader that most of its lists name. One that links to it
    has its distance to the leader as a computed answer.
 5. *Skipping.* Lists whose sets are all connected by now are skipped whole. In the others, blocks by
-   leader and position are joined, and block pairs that sizes and positions rule out are
-   skipped. For the rest the leaders alone are compared; since the Jaccard distance obeys the
+   leader are joined, and pairs of blocks that sizes, positions and the number of shared prefix
+   shingles rule out are skipped. For the rest the leaders alone are compared; since the Jaccard distance obeys the
    triangle inequality, the answers of a leader's followers derive from its own: only where
    d(r1, r2) <= 1 - t + d(x, r1) + d(y, r2), and x and y are not connected yet, are x and y compared.
 
@@ -44,10 +44,12 @@ CELLS = 1 << 21
 BLOCK = 1 << 14
 #: Bits of the screen over wanted documents.
 SCREEN = 1 << 23
-POSTINGS_PER_BUCKET = 1_000_000
+POSTINGS_PER_BUCKET = 500_000
 #: A shingle whose sketched count reaches this is dealt by set as well, so that no list is one task's.
 HOT = 1 << 17
 FOLLOWERS_PER_TASK = 256
+#: Texts whose entries are packed together.
+PACKED = 2_000
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _STEP = np.uint64(0x100000001B3)
@@ -56,7 +58,7 @@ _STEP = np.uint64(0x100000001B3)
 class _Words(dict):
     """64-bit hash of each word, kept up to a number of words."""
 
-    LIMIT = 1_000_000
+    LIMIT = 250_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:
@@ -151,7 +153,7 @@ def _lists(docs: DataFrame, sketch: np.ndarray, total: int, width: int, percent:
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, press = _Words(), zstandard.ZstdCompressor(1)
         is_hot = np.unpackbits(hot)[:CELLS].astype(bool)
-        for batch in batches:
+        for batch in (b.slice(i, PACKED) for b in batches for i in range(0, b.num_rows, PACKED)):
             seen: set[bytes] = set()
             tokens, owners, sizes, names = [], [], [], []
             for text in _bytes(batch.column(0)):
@@ -233,40 +235,42 @@ def _screen_of(ids: DataFrame) -> np.ndarray:
 
 
 def compare(pairs: DataFrame, docs: DataFrame, sets: DataFrame, width: int) -> DataFrame:
-    """``(a, b, both, n_a, n_b)``: sizes of the two sets and of their intersection for each pair of names.
+    """``(a, b, both, n_a, n_b)``: sizes of the two sets and of their intersection for each pair of ids.
 
-    Texts are read again, past a screen of fixed size over the wanted ids, and sent to the pairs
-    that need them, compressed. A set in very many pairs is sent to several tasks, each of which
-    meets a part of its partners; a task holds one leader's set at a time.
+    ``sets`` (id, set, doc_id) says which document shows a set. Texts are read again, past a screen
+    of fixed size over the wanted documents, and sent to the pairs that need them, compressed. A set
+    in very many pairs is sent to several tasks, each of which meets a part of its partners; a
+    task holds one leader's set at a time.
     """
     pairs = stored(pairs.select("a", "b"))
-    wanted = pairs.select(F.col("a").alias("set")).unionByName(pairs.select(F.col("b").alias("set"))).distinct()
-    wanted = stored(sets.where("doc_id IS NOT NULL").groupBy("set").agg(F.min("doc_id").alias("doc_id")).join(wanted, "set", "left_semi"))
+    wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    wanted = stored(sets.join(wanted, "id", "left_semi").select("id", "set", "doc_id"))
     screen = _screen_of(wanted)
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, press = _Words(), zstandard.ZstdCompressor(1)
+        press = zstandard.ZstdCompressor(1)
         for batch in batches:
             h = batch.column(2).to_numpy()
             batch = batch.filter(pa.array((screen[h >> 3] >> (7 - (h & 7)).astype(np.uint8) & 1).astype(bool)))
-            words = [b" ".join((t or b"").lower().split()) for t in _bytes(batch.column(1))]
-            yield pa.record_batch([batch.column(0), pa.array([name(shingles(w, hashes, width)) for w in words], pa.binary()), pa.array([press.compress(w) for w in words], pa.binary())],
-                                  ["doc_id", "set", "words"])
+            words = [press.compress(b" ".join((t or b"").lower().split())) for t in _bytes(batch.column(1))]
+            yield pa.record_batch([batch.column(0), pa.array(words, pa.binary())], ["doc_id", "words"])
 
     rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(SCREEN)).alias("_h"))
-    texts = rows.mapInArrow(fetch, "doc_id long, set binary, words binary").join(wanted, ["set", "doc_id"], "left_semi").select("set", "words")
+    texts = rows.mapInArrow(fetch, "doc_id long, words binary").join(wanted, "doc_id").select("id", "set", "words")
     parts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / FOLLOWERS_PER_TASK).cast("long").alias("_parts"))
-    asked = pairs.join(parts, "a").select(F.col("b").alias("set"), F.col("a").alias("key"), F.pmod(F.xxhash64("b"), F.col("_parts")).alias("_part"), F.lit(1).alias("_turn"))
-    leaders = parts.select(F.col("a").alias("set"), F.col("a").alias("key"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1)).alias("_part"), F.lit(0).alias("_turn"))
-    met = asked.unionByName(leaders).join(texts, "set").repartition("key", "_part").sortWithinPartitions("key", "_part", "_turn", "set")
+    asked = pairs.join(parts, "a").select(F.col("b").alias("id"), F.col("a").alias("key"), F.pmod(F.xxhash64("b"), F.col("_parts")).alias("_part"), F.lit(1).alias("_turn"))
+    leaders = parts.select(F.col("a").alias("id"), F.col("a").alias("key"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1)).alias("_part"), F.lit(0).alias("_turn"))
+    met = asked.unionByName(leaders).join(texts, "id").repartition("key", "_part").sortWithinPartitions("key", "_part", "_turn", "id")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, undo = _Words(), zstandard.ZstdDecompressor()
         lead, key = np.zeros(0, np.uint64), None
-        for batch in batches:
+        for batch in (b.slice(i, PACKED) for b in batches for i in range(0, b.num_rows, PACKED)):
             a, b, both, n_a, n_b = [], [], [], [], []
-            for own, k, turn, words in zip(*(batch.column(c).to_pylist() for c in ("set", "key", "_turn", "words"))):
+            for own, k, turn, called, words in zip(*(batch.column(c).to_pylist() for c in ("id", "key", "_turn", "set", "words"))):
                 s = shingles(undo.decompress(words), hashes, width)
+                if name(s) != called:  # another text under the same document id
+                    continue
                 if turn == 0:
                     lead, key = s, k
                 elif k == key:
@@ -275,9 +279,9 @@ def compare(pairs: DataFrame, docs: DataFrame, sets: DataFrame, width: int) -> D
                     both.append(len(np.intersect1d(lead, s, assume_unique=True)))
                     n_a.append(len(lead))
                     n_b.append(len(s))
-            yield pa.record_batch([pa.array(a, pa.binary()), pa.array(b, pa.binary()), *(pa.array(x, pa.int64()) for x in (both, n_a, n_b))], ["a", "b", "both", "n_a", "n_b"])
+            yield pa.record_batch([pa.array(x, pa.int64()) for x in (a, b, both, n_a, n_b)], ["a", "b", "both", "n_a", "n_b"])
 
-    return stored(met.mapInArrow(meet, "a binary, b binary, both long, n_a long, n_b long").distinct())
+    return stored(met.mapInArrow(meet, "a long, b long, both long, n_a long, n_b long").distinct())
 
 
 def _linked(percent: int):
@@ -287,73 +291,94 @@ def _linked(percent: int):
 _DISTANCE = "1 - both / (n_a + n_b - both)"
 
 
-def _roots(edges: DataFrame) -> DataFrame:
-    """``(set, root)`` for every set of an edge that is not the smallest of its component."""
-    return contract(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), []).select(F.col("u").alias("set"), F.col("v").alias("root"))
+def _roots(edges: DataFrame, roots: DataFrame | None = None) -> DataFrame:
+    """``(id, root)`` for every set of an edge that is not the smallest of its component; with ``roots``,
+    those of the edges so far, which new edges only join."""
+    if roots is not None:
+        for c in ("a", "b"):
+            edges = edges.join(roots.select(F.col("id").alias(c), F.col("root").alias("_r")), c, "left").withColumn(c, F.coalesce("_r", c)).drop("_r")
+        edges = edges.where("a <> b")
+    new = contract(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), []).select(F.col("u").alias("id"), F.col("v").alias("root"))
+    if roots is None:
+        return new
+    moved = roots.join(new.select(F.col("id").alias("root"), F.col("root").alias("_to")), "root", "left").select("id", F.coalesce("_to", "root").alias("root"))
+    return stored(moved.unionByName(new))
 
 
 # -- the join ----------------------------------------------------------------------------------
 
+def _named(rows: DataFrame) -> DataFrame:
+    """``(set, n, id, doc_id)``: a number for each distinct non-empty set, that of its smallest document.
+
+    A document id that shows two sets, or none at all, gives no name to a set; such a set is
+    numbered by its hash, below zero.
+    """
+    sets = rows.where("n > 0").groupBy("set").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"))
+    twice = sets.groupBy(F.col("doc_id").alias("_doc")).count().where("count > 1 OR _doc IS NULL").select("_doc", F.lit(True).alias("_twice"))
+    named = sets.join(twice, F.col("doc_id").eqNullSafe(F.col("_doc")), "left")
+    return stored(named.select("set", "n", "doc_id", F.when(F.col("_twice"), -F.pmod(F.xxhash64("set"), F.lit(1 << 62)) - 1).otherwise(F.col("doc_id")).alias("id")))
+
+
 def classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """``(doc_id, n, set, class)`` of every row: the name of its set and of its class.
+    """``(doc_id, n, set, class)`` of every row: the name of its set and the number of its class.
 
     Sets are in one class when a chain of pairs of at least ``percent`` similarity joins them.
-    An empty set is in the class of empty sets, which is no link; see ``components``.
+    An empty set has no class.
     """
     scan = _scan(docs, width)
-    sets = scan.where("block IS NULL").select("doc_id", "n", "set")
-    total = sets.agg(F.sum("n")).first()[0] or 0
-    entries = stored(_lists(docs, _sketch(scan), total, width, percent))
+    rows = scan.where("block IS NULL").select("doc_id", "n", "set")
+    total = rows.agg(F.sum("n")).first()[0] or 0
+    sets = _named(rows)
+    entries = stored(_lists(docs, _sketch(scan), total, width, percent).join(sets.select("set", "id"), "set").select("token", "id", "n", "pos"))
     t = percent / 100
 
-    # Leaders by block of a list.
-    block = F.floor(F.log(F.col("n").cast("double")) / -math.log(t)).cast("int")
-    at = entries.withColumn("_block", block)
-    head = at.groupBy("token", "_block").agg(F.min(F.struct("n", "set")).alias("_lead"), F.count(F.lit(1)).alias("_k")).where("_k > 1")
-    votes = at.join(head.select("token", "_block", F.col("_lead.set").alias("lead")), ["token", "_block"]).where("set <> lead").groupBy("set", "lead").count()
-    best = votes.groupBy("set").agg(F.max_by("lead", F.struct("count", "lead")).alias("lead"))
-    answers = compare(best.select(F.col("lead").alias("a"), F.col("set").alias("b")), docs, sets, width)
+    # Leaders by block of a list: the first set of the block.
+    at = entries.withColumn("_block", F.floor(F.log(F.col("n").cast("double")) / -math.log(t)).cast("int"))
+    head = at.groupBy("token", "_block").agg(F.min("id").alias("lead"), F.count(F.lit(1)).alias("_k")).where("_k > 1").drop("_k")
+    votes = at.join(head, ["token", "_block"]).where("id <> lead").groupBy("id", "lead").count()
+    best = votes.groupBy("id").agg(F.max_by("lead", F.struct("count", "lead")).alias("lead"))
+    answers = compare(best.select(F.col("lead").alias("a"), F.col("id").alias("b")), docs, sets, width)
     close = answers.where(_linked(percent))
-    roots = _roots(close)
-    leader = stored(close.select(F.col("b").alias("set"), F.col("a").alias("lead"), F.expr(_DISTANCE).alias("far")))
+    roots = _roots(close.select("a", "b"))
+    leader = stored(close.select(F.col("b").alias("id"), F.col("a").alias("lead"), F.expr(_DISTANCE).alias("far")))
 
-    # Lists that are not of one class yet.
     def classed(rows: DataFrame, found: DataFrame) -> DataFrame:
-        return rows.join(found, "set", "left").withColumn("root", F.coalesce("root", "set"))
+        return rows.join(found, "id", "left").withColumn("root", F.coalesce("root", "id"))
 
+    # Lists that are not of one class yet.
     known = classed(entries, roots)
     apart = known.groupBy("token").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi")).where("_lo <> _hi").select("token")
-    open_rows = known.join(apart, "token", "left_semi").join(leader, "set", "left")
-    open_rows = stored(open_rows.withColumns({"lead": F.coalesce("lead", "set"), "far": F.coalesce("far", F.lit(0.0)), "_at": F.floor(F.col("pos") * 32 / F.col("n")).cast("int")}))
+    open_rows = known.join(apart, "token", "left_semi").join(leader, "id", "left")
+    open_rows = stored(open_rows.withColumns({"lead": F.coalesce("lead", "id"), "far": F.coalesce("far", F.lit(0.0))}))
 
-    # Blocks by leader and position; a pair of blocks is skipped if no two of its sets can link.
-    blocks = open_rows.groupBy("token", "lead", "root", "_at").agg(
+    # Blocks by leader; a pair of blocks is skipped if no two of its sets can link. Two leaders that stand
+    # alone must share more of their prefixes than one shingle: of the overlap that they need, at most the larger
+    # set's part behind its prefix can lie elsewhere.
+    blocks = open_rows.groupBy("token", "lead", "root").agg(
         F.min("n").alias("lo"), F.max("n").alias("hi"), F.max(F.col("n") - F.col("pos")).alias("rest"), F.max("far").alias("far"))
     x, y = blocks.alias("x"), blocks.alias("y")
-    can = (F.col("x.hi") >= t * F.col("y.lo")) & (F.col("y.hi") >= t * F.col("x.lo")) & (
-        F.least("x.rest", "y.rest") >= (F.col("x.lo") + F.col("y.lo")) * (t / (1 + t)) - 1e-9)
-    pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.lead") < F.col("y.lead")) & (F.col("x.root") != F.col("y.root")) & can)
-    pairs = pairs.groupBy(F.col("x.lead").alias("a"), F.col("y.lead").alias("b")).agg(F.max(F.col("x.far") + F.col("y.far")).alias("far"))
-    pairs = stored(pairs)
-    edges = close.select("a", "b")
+    sizes = (F.col("x.hi") >= t * F.col("y.lo")) & (F.col("y.hi") >= t * F.col("x.lo"))
+    met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.lead") < F.col("y.lead")) & (F.col("x.root") != F.col("y.root")) & sizes)
+    least = F.ceil((F.col("x.lo") + F.col("y.lo")) * (t / (1 + t)) - 1e-9)
+    pairs = met.groupBy(F.col("x.lead").alias("a"), F.col("y.lead").alias("b")).agg(
+        F.max(F.col("x.far") + F.col("y.far")).alias("far"), F.count(F.lit(1)).alias("shared"),
+        F.max(F.least("x.rest", "y.rest") >= least).alias("placed"), F.min(least - F.ceil(F.greatest("x.lo", "y.lo") * t - 1e-9) + 1).alias("needed"))
+    pairs = stored(pairs.where("placed AND (far > 0 OR shared >= needed)").select("a", "b", "far"))
     if pairs.limit(1).count():
         between = compare(pairs, docs, sets, width)
-        edges = stored(edges.unionByName(between.where(_linked(percent)).select("a", "b")))
-        roots = _roots(edges)
+        roots = _roots(between.where(_linked(percent)).select("a", "b"), roots)
         # Followers of leaders that are near enough for some of theirs to link.
-        near = between.join(pairs, ["a", "b"]).select("a", "b", F.expr(_DISTANCE).alias("apart"), "far").where(f"apart <= {1 - t} + far + 1e-9").select("a", "b", "apart")
-        rows = classed(open_rows.drop("root"), roots)
-        x, y = rows.alias("x"), rows.alias("y")
-        left = near.join(x, F.col("a") == F.col("x.lead"))
-        last = left.join(y, (F.col("b") == F.col("y.lead")) & (F.col("x.token") == F.col("y.token"))).where(
+        near = between.join(pairs, ["a", "b"]).select("a", "b", F.expr(_DISTANCE).alias("apart"), "far").where(f"far > 0 AND apart <= {1 - t} + far + 1e-9").select("a", "b", "apart")
+        open_rows = classed(open_rows.drop("root"), roots)
+        x, y = open_rows.alias("x"), open_rows.alias("y")
+        last = near.join(x, F.col("a") == F.col("x.lead")).join(y, (F.col("b") == F.col("y.lead")) & (F.col("x.token") == F.col("y.token"))).where(
             (F.col("x.root") != F.col("y.root")) & (F.least("x.n", "y.n") >= t * F.greatest("x.n", "y.n"))
             & (F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos")) >= (F.col("x.n") + F.col("y.n")) * (t / (1 + t)) - 1e-9)
-            & (F.col("apart") <= 1 - t + F.col("x.far") + F.col("y.far") + 1e-9) & ((F.col("x.set") != F.col("a")) | (F.col("y.set") != F.col("b"))))
-        last = stored(last.select(F.col("x.set").alias("a"), F.col("y.set").alias("b")).distinct())
+            & (F.col("apart") <= 1 - t + F.col("x.far") + F.col("y.far") + 1e-9) & ((F.col("x.id") != F.col("a")) | (F.col("y.id") != F.col("b"))))
+        last = stored(last.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct())
         if last.limit(1).count():
-            edges = stored(edges.unionByName(compare(last, docs, sets, width).where(_linked(percent)).select("a", "b")))
-            roots = _roots(edges)
-    return classed(sets, roots).withColumnRenamed("root", "class").select("doc_id", "n", "set", "class")
+            roots = _roots(compare(last, docs, sets, width).where(_linked(percent)).select("a", "b"), roots)
+    return rows.join(classed(sets, roots).select("set", F.col("root").alias("class")), "set", "left").select("doc_id", "n", "set", "class")
 
 
 def components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:

@@ -108,7 +108,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts cut down to runs of their words, (first word, count) each; what stands between words of a run stays."""
     for batch in batches:
         texts = []
-        for text, runs, size in zip(*(batch.column(c).to_pylist() for c in ("text", "__runs", "__size"))):
+        for text, runs, size in zip(*(batch.column(c).to_pylist() for c in ("text", "__mix_runs", "__mix_size"))):
             if [tuple(r.values()) for r in runs] != [(0, size)]:
                 spans = [m.span() for m in _WORDS.finditer(text)]
                 text = "\n".join(text[spans[r["at"]][0]:spans[r["at"] + r["n"] - 1][1]] for r in runs)
@@ -136,11 +136,11 @@ def mixed_documents(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most
         F.concat(done, F.array(r)))))
     # Rows alike in id, source and text share a key: the k-th of them takes the k-th entry.
     per_row = runs.groupBy(*CELL, "_row", "_key", "size").agg(F.collect_list("_runs").alias("_passes"))
-    plan = per_row.groupBy("_key").agg(F.sort_array(F.collect_list(F.struct("_row", "size", "_passes"))).alias("_plan"))
-    turn = Window.partitionBy("__key").orderBy("doc_id")
-    out = docs.withColumn("__key", key).join(plan.withColumnRenamed("_key", "__key"), "__key").withColumn("__mine", F.get("_plan", F.row_number().over(turn) - 1))
-    out = out.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode("__mine._passes").alias("__runs"), F.col("__mine.size").alias("__size"))
-    out = out.mapInArrow(_cut, out.schema).drop("__runs", "__size")
+    plan = per_row.groupBy("_key").agg(F.sort_array(F.collect_list(F.struct("_row", "size", "_passes"))).alias("__mix_plan"))
+    turn = Window.partitionBy("__mix_key").orderBy("doc_id")
+    out = docs.withColumn("__mix_key", key).join(plan.withColumnRenamed("_key", "__mix_key"), "__mix_key").withColumn("__mix_mine", F.get("__mix_plan", F.row_number().over(turn) - 1))
+    out = out.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode("__mix_mine._passes").alias("__mix_runs"), F.col("__mix_mine.size").alias("__mix_size"))
+    out = out.mapInArrow(_cut, out.schema).drop("__mix_runs", "__mix_size")
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 

@@ -21,7 +21,7 @@ UNIT = 16
 END = 1
 VOCABULARY = "byte_bpe_50k.json"
 #: Distinct chunks kept per worker; the memory is given back when there are more.
-CACHE = 800_000
+CACHE = 400_000
 
 
 # -- token ids ---------------------------------------------------------------------------------
@@ -95,6 +95,7 @@ def token_rows(docs: DataFrame, path: str | None = None, sequence: int = SEQUENC
                 n.append(len(ids) // 4)
                 crcs.append([zlib.crc32(memoryview(ids)[i:i + step]) for i in range(0, len(ids), step)])
             yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(crcs, pa.list_(pa.int64()))], ["doc_id", "doc_tokens", "crcs"])
+        tokens.clear()  # the worker process outlives the task
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", whole().alias("text")).mapInArrow(run, f"doc_id {kind}, doc_tokens long, crcs array<long>")

@@ -83,14 +83,14 @@ def test_pages(spark):
     schema = "page_id long, url string, html string, key string"
     page = "<nav><a>Home</a></nav><div>Site name</div><div><p>{}</p><p>{}</p></div><div>All rights reserved</div>"
     rows = [
-        (1, "http://h/a/1", page.format("First &amp; only", "one"), "x"), (2, "http://h/a/2", page.format("Second   text\n here", "two"), "x"), (2, "http://h/a/2", page.format("Second   text\n here", "two"), "x"),
+        (1, "http://h/a/1", page.format("First &amp; only paragraph of a page that has a fair number of words", "one"), "x"), (2, "http://h/a/2", page.format("Second   text\n here which goes on for about as long as the other one does", "two"), "x"), (2, "http://h/a/2", page.format("Second   text\n here which goes on for about as long as the other one does", "two"), "x"),
         (3, None, None, None), (4, "http://h/a/3", "", "x"), (None, "http://other/", "<article><h1>T</h1><p>a<br>b<div class='comments'><p>me too</p></div></article>", None),
         (5, "http://c/1", "<main><p>Copied body text of some length</p></main>", "x"), (6, "http://c/2", "<main><p>Copied body text of some length</p></main>", "x"),
     ]
     got = {}
     for r in pagetext.extract(spark.createDataFrame(rows, schema)).collect():
         got.setdefault(r.page_id, []).append(r.text)
-    assert got[1] == ["First & only\n\none"] and got[2] == ["Second text here\n\ntwo"] * 2
+    assert got[1] == ["First & only paragraph of a page that has a fair number of words\n\none"] and got[2] == ["Second text here which goes on for about as long as the other one does\n\ntwo"] * 2
     assert got[3] == got[4] == [""] and got[None] == ["T\n\na b"]
     assert got[5] == got[6] == ["Copied body text of some length"]  # a copy of a page is no evidence of furniture
     assert pagetext.extract(spark.createDataFrame([], schema)).count() == 0
