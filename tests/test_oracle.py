@@ -1,5 +1,9 @@
 """Every registered query against its reference SQL on the smallest driver tables."""
 
+import os
+import subprocess
+import sys
+
 import duckdb
 import pytest
 
@@ -7,6 +11,7 @@ import __spark_entry__ as entry_mod
 from check_oracle import TABLES, compare
 
 SF = "/root/testdata/sf0.001"
+ROOT = os.path.dirname(os.path.abspath(entry_mod.__file__))
 
 
 @pytest.fixture(scope="module")
@@ -17,7 +22,7 @@ def con():
     return c
 
 
-@pytest.mark.parametrize("name", sorted(entry_mod.queries()))
+@pytest.mark.parametrize("name", sorted(entry_mod.plans.registry.QUERIES))
 def test_query(spark, con, name):
     message, _, _ = compare(spark, con, name, SF)
     assert message.startswith(("ok", "rows-only")), message
@@ -25,3 +30,12 @@ def test_query(spark, con, name):
 
 def test_entry(spark):
     assert entry_mod.entry(spark).count() > 0
+
+
+def test_workers_import_the_package_from_any_folder(tmp_path):
+    """A query with a Python kernel, started elsewhere and without PYTHONPATH."""
+    code = (f"import sys; sys.path.insert(0, {ROOT!r}); import __spark_entry__ as e; from planeweave.session import local_session; "
+            f"print('rows', e.queries()['t2_isodata'](local_session(2, 2), {SF!r}).count())")
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "rows" in done.stdout, done.stderr[-2000:]
