@@ -224,6 +224,6 @@ def j12(spark, sf):
 
 
 @query("j12_nearest_roi", f"""WITH {_HIT}, r AS (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY round(distance, 9), roi_id) AS rk FROM ht WHERE distance <= 3)
-SELECT point_id, image_id, page, roi_id, {rd("distance")} AS distance FROM r WHERE rk = 1""")
+SELECT pts.point_id, pts.image_id, pts.page, r.roi_id, {rd("r.distance")} AS distance FROM pts LEFT JOIN r ON r.point_id = pts.point_id AND rk = 1""")
 def j12n(spark, sf):
     return J.nearest_roi(_points(spark, sf), views.roi_table(spark, sf), 3.0).withColumn("distance", rnd("distance"))
