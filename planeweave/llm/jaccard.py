@@ -370,8 +370,12 @@ def classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> Data
         # Followers of leaders that are near enough for some of theirs to link.
         near = between.join(pairs, ["a", "b"]).select("a", "b", F.expr(_DISTANCE).alias("apart"), "far").where(f"far > 0 AND apart <= {1 - t} + far + 1e-9").select("a", "b", "apart")
         open_rows = classed(open_rows.drop("root"), roots)
-        x, y = open_rows.alias("x"), open_rows.alias("y")
-        last = near.join(x, F.col("a") == F.col("x.lead")).join(y, (F.col("b") == F.col("y.lead")) & (F.col("x.token") == F.col("y.token"))).where(
+        # Only lists in which blocks of both leaders stand, and only followers far enough from their leader.
+        lists = met.select(F.col("x.lead").alias("a"), F.col("y.lead").alias("b"), F.col("x.token").alias("token"), F.col("x.far").alias("_fa"), F.col("y.far").alias("_fb"))
+        lists = lists.join(near, ["a", "b"]).where(F.col("apart") <= 1 - t + F.col("_fa") + F.col("_fb") + 1e-9)
+        x = open_rows.select("token", F.col("lead").alias("a"), F.struct("id", "n", "pos", "far", "root").alias("x"))
+        y = open_rows.select("token", F.col("lead").alias("b"), F.struct("id", "n", "pos", "far", "root").alias("y"))
+        last = lists.join(x, ["token", "a"]).where(F.col("apart") <= 1 - t + F.col("x.far") + F.col("_fb") + 1e-9).join(y, ["token", "b"]).where(
             (F.col("x.root") != F.col("y.root")) & (F.least("x.n", "y.n") >= t * F.greatest("x.n", "y.n"))
             & (F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos")) >= (F.col("x.n") + F.col("y.n")) * (t / (1 + t)) - 1e-9)
             & (F.col("apart") <= 1 - t + F.col("x.far") + F.col("y.far") + 1e-9) & ((F.col("x.id") != F.col("a")) | (F.col("y.id") != F.col("b"))))
