@@ -1,4 +1,4 @@
-"""Mixing sources to target weights: equal-token blocks apportioned by highest quotients."""
+"""Mixing sources to target weights: proportional word targets per shard, taken block by block in seeded order."""
 
 from __future__ import annotations
 
@@ -62,9 +62,8 @@ def _taken(sizes: DataFrame, weights, share: float, most: float, block: int, sha
     rows = rows.withColumn("_row", F.row_number().over(line)).withColumn(
         "_end", F.sum("size").over(line.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     rows = rows.withColumn("_words", F.sum("size").over(Window.partitionBy(*CELL)))
-    # Whole words a shard is to give, and its seats.
+    # Whole words a shard is to give.
     rows = rows.withColumn("_t", F.round(F.col("target") * F.col("_words") / F.greatest(F.col("source_size"), F.lit(1))).cast("long"))
-    rows = rows.withColumn("quota", F.floor(F.col("_t") / F.lit(block) + F.lit(0.5)).cast("long"))
     first, last = F.expr(f"(_end - size) div {block}"), F.expr(f"greatest(_end - 1, _end - size) div {block}")
     rows = rows.withColumn("_start", F.col("_end") - F.col("size")).withColumn("_block", F.explode(F.sequence(first, last)))
     low = F.greatest(F.col("_start"), F.col("_block") * F.lit(block))
@@ -72,10 +71,7 @@ def _taken(sizes: DataFrame, weights, share: float, most: float, block: int, sha
     rows = rows.withColumns({"_from": low - F.col("_start"), "_n": high - low, "_turn": fixed_hash(F.lit(seed), F.col("source"), F.col("_shard"), F.col("_block"))})
     turn = Window.partitionBy(*CELL).orderBy("_turn", "_block", "_row").rowsBetween(Window.unboundedPreceding, -1)
     before = F.coalesce(F.sum("_n").over(turn), F.lit(0))
-    # The seats' words, plus what settles their difference from _t in the last block.
-    settle = F.col("_t") - F.col("quota") * F.lit(block)
-    reach = F.col("quota") * F.lit(block) + settle
-    given = lambda passed: F.greatest(F.lit(0), F.least(F.col("_n"), reach - passed - before)).cast("long")
+    given = lambda passed: F.greatest(F.lit(0), F.least(F.col("_n"), F.col("_t") - passed - before)).cast("long")
     return rows.withColumns({"_once": given(F.lit(0)), "_twice": given(F.col("_words"))})
 
 
@@ -89,12 +85,9 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MO
 
     A source is split by a seeded hash of its documents into shards of about ``shard`` words,
     so no source, however large, is one group. A shard's documents, in seeded order, form a
-    line of words cut into equal blocks. Seats go to shards by highest quotients: seat k
-    (from 0) of a shard with target t has quotient t / (k + 1/2), and every seat whose quotient
-    reaches the block length is won, which is the Sainte-Lague apportionment of as many seats
-    as that makes. Blocks are then taken in seeded order, a second time where the quota exceeds
-    the line; the part of a block by which quota and target differ (half a block at most, per
-    shard) is taken from, or left out of, the last one.
+    line of words cut into equal blocks. A shard gives its proportional part of the source's
+    target, rounded to whole words: blocks are taken in seeded order, a second time where that
+    exceeds the line, and the last one is cut off inside. No seats are apportioned.
 
     Null text counts as empty and takes 0; a null source is a source, last in order; repeated
     rows each have their own words on the line. Without words all targets are 0.
