@@ -16,12 +16,16 @@ from planeweave.llm.common import stored
 HIDDEN = frozenset("head title script style noscript template svg math canvas iframe object select textarea button datalist".split())
 FRAME = frozenset("nav header footer aside form dialog menu".split())
 CONTENT = frozenset("article main".split())
+#: Elements that no class, id or role marks.
+WHOLE = frozenset("html body".split())
+#: Elements that may stand in a head; any other, and text, ends it.
+HEAD = frozenset("base basefont bgsound head link meta noframes noscript script style template title".split())
 #: Elements that begin and end a block of text.
 BLOCKS = frozenset(("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset "
                     "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td "
                     "tfoot th thead tr ul").split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Words in class, id or role that mark a region as not the article.
+#: Whole names in class, id or role that mark a region as not the article.
 MARKS = frozenset(("ad ads adv advert advertisement advertising banner breadcrumb breadcrumbs comment comments contentinfo cookie cookies disqus footer "
                    "masthead menu modal nav navbar navigation newsletter notice overlay pagination popup promo promoted related replies reply respond "
                    "share sharing sidebar signup social sponsor sponsored subscribe toolbar widget widgets").split())
@@ -31,14 +35,16 @@ BODY, ARTICLE, MARKED = 0, 1, 2
 
 
 class _Lines(HTMLParser):
-    """Blocks of text in page order, each with the region that it stands in."""
+    """Blocks of text in page order, each with the marked or content element that it stands in."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.lines: list[tuple[str, int]] = []
         self.parts: list[str] = []
-        #: Open elements with the region and whether text is hidden in them.
-        self.open: list[tuple[str, int, bool]] = [("", BODY, False)]
+        #: Marked and content elements in page order: the one around it, its tag, what it is.
+        self.nodes: list[tuple[int, str, str]] = [(-1, "", "")]
+        #: Open elements with the node that they stand in and whether text is hidden in them.
+        self.open: list[tuple[str, int, bool]] = [("", 0, False)]
 
     def flush(self) -> None:
         text = " ".join("".join(self.parts).split())
@@ -51,23 +57,60 @@ class _Lines(HTMLParser):
             self.flush()
         if tag == "br":
             self.parts.append(" ")
+        if self.open[-1][0] == "head" and tag not in HEAD:
+            self.open.pop()
         if tag in VOID:
             return
         if tag == "p" and self.open[-1][0] == "p" or tag == "li" and self.open[-1][0] == "li":
             self.open.pop()
         elif tag in BLOCKS:
             self._end_paragraph()
-        region, hidden = self.open[-1][1:]
+        node, hidden = self.open[-1][1:]
         given = dict(attrs)
-        marks = " ".join(v for k in ("class", "id", "role") if (v := given.get(k))).lower()
-        inside = region == ARTICLE
-        if region != MARKED:
-            if tag in FRAME and not (inside and tag == "header") or marks and not MARKS.isdisjoint(marks.replace("-", " ").replace("_", " ").split()):
-                region = MARKED
-            elif tag in CONTENT or given.get("itemprop") == "articleBody":
-                region = ARTICLE
+        names = " ".join(v for k in ("class", "id", "role") if (v := given.get(k))).lower().split()
+        kind = ""
+        if tag in CONTENT or given.get("itemprop") == "articleBody":
+            kind = "main" if tag == "main" else "article"
+        elif tag not in WHOLE and not MARKS.isdisjoint(names):
+            kind = "named"
+        elif tag in FRAME:
+            kind = "frame"
+        if kind:
+            self.nodes.append((node, tag, kind))
+            node = len(self.nodes) - 1
         hidden = hidden or tag in HIDDEN or "hidden" in given or given.get("aria-hidden") == "true"
-        self.open.append((tag, region, hidden))
+        self.open.append((tag, node, hidden))
+
+    def regions(self, forms: bool = True) -> list[int]:
+        """The region of each node. A form around content is no mark, nor is any form without ``forms``; if every
+        article (without one, every main) stands in a marked element, the marked elements around them are none either."""
+        def around(kinds: tuple[str, ...]) -> list[bool]:
+            held = [n[2] in kinds for n in self.nodes]
+            for i in range(len(held) - 1, 0, -1):
+                held[self.nodes[i][0]] |= held[i]
+            return held
+
+        def marks(i: int) -> bool:
+            return self.nodes[i][2] in ("named", "frame") and i not in neutral
+
+        held = around(("article", "main"))
+        neutral = {i for i, n in enumerate(self.nodes) if n[1:] == ("form", "frame") and (held[i] or not forms)}
+        first = "article" if any(n[2] == "article" for n in self.nodes) else "main"
+        below = [False]
+        for up, _, _ in self.nodes[1:]:
+            below.append(below[up] or marks(up))
+        if all(below[i] for i, n in enumerate(self.nodes) if n[2] == first):
+            neutral |= {i for i, x in enumerate(around((first,))) if x and marks(i)}
+        out = [BODY]
+        for i, (up, tag, kind) in enumerate(self.nodes[1:], 1):
+            region = out[up]
+            if region != MARKED:
+                if kind in ("article", "main"):
+                    region = ARTICLE
+                elif marks(i) and (kind == "named" or not (tag == "header" and region == ARTICLE)):
+                    region = MARKED
+            out.append(region)
+        return out
 
     def _end_paragraph(self) -> None:
         """A block ends an open paragraph, with the inline elements left open in it."""
@@ -92,6 +135,8 @@ class _Lines(HTMLParser):
                 break  # an inline end tag does not close the block around it
 
     def handle_data(self, data: str) -> None:
+        if self.open[-1][0] == "head" and data.strip():
+            self.open.pop()
         if not self.open[-1][2]:
             self.parts.append(data)
 
@@ -102,7 +147,10 @@ def lines(html: str) -> list[tuple[str, int]]:
     parser.feed(html)
     parser.close()
     parser.flush()
-    return parser.lines
+    regions = parser.regions()
+    if all(regions[node] == MARKED for _, node in parser.lines):
+        regions = parser.regions(forms=False)  # a page all within a form
+    return [(text, regions[node]) for text, node in parser.lines]
 
 
 def common(a: np.ndarray, b: np.ndarray) -> np.ndarray:

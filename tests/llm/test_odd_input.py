@@ -96,6 +96,26 @@ def test_pages(spark):
     assert pagetext.extract(spark.createDataFrame([], schema)).count() == 0
 
 
+@pytest.mark.parametrize("page", [
+    "<body class='single no-sidebar'><article><p>Own text</p></article></body>",
+    "<body id=widget><div>Own text</div></body>",
+    "<div class='content has-sidebar'><p>Own text</p></div>",
+    "<div class='sidebar'><article><p>Own text</p></article></div><p>else</p>",
+    "<article class='post comments-open'><p>Own text</p></article>",
+    "<main class='notice'><p>Own text</p></main>",
+    "<form action='/'><nav>Menu</nav><main><p>Own text</p></main></form>",
+    "<body><form id=aspnetForm><nav>Menu</nav><div><p>Own text</p></div></form></body>",
+    "<head><title>Title</title><body><p>Own text</p></body>",
+    "<head><meta charset=utf-8><title>Title</title><p>Own text</p>",
+    "<head><title>Title</title><article>Own text</article>",
+    "<article><p>Own text</p></article><section id=comments><article><p>Me too</p></article></section><form>Search</form>",
+])
+def test_markup_keeps_articles(page):
+    found = pagetext.lines(page)
+    article = pagetext.ARTICLE in [r for _, r in found]
+    assert [t for t, r in found if r == (pagetext.ARTICLE if article else pagetext.BODY)] == ["Own text"]
+
+
 @pytest.mark.parametrize("k", range(5))
 def test_stages(spark, tmp_path, odd_wide, empty, labels, k):
     labels.write.parquet(f"{tmp_path}/labels.parquet")
