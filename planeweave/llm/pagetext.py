@@ -29,7 +29,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 MARKS = frozenset(("ad ads adv advert advertisement advertising banner breadcrumb breadcrumbs comment comments contentinfo cookie cookies disqus footer "
                    "masthead menu modal nav navbar navigation newsletter notice overlay pagination popup promo promoted related replies reply respond "
                    "share sharing sidebar signup social sponsor sponsored subscribe toolbar widget widgets").split())
-#: A repeated run of lines is a page's furniture only if it leaves most of the neighbour different.
+#: Pages that have more than this part of their own text in common are copies, which tell nothing of each other.
 COPY = 0.6
 BODY, ARTICLE, MARKED = 0, 1, 2
 
@@ -197,60 +197,92 @@ def _hash(texts: list[str]) -> list[int]:
     return [xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")) - (1 << 63) for t in texts]
 
 
+def _kept(found: list[tuple[str, int]]) -> list[str]:
+    """The blocks that markup leaves: those of article and main elements, or without any all that are not marked."""
+    wanted = ARTICLE if any(r == ARTICLE for _, r in found) else BODY
+    return [t for t, r in found if r == wanted]
+
+
 def _parsed(pages: DataFrame, with_text: bool) -> DataFrame:
-    """page_id, url and of each block its hash; the texts and regions too if ``with_text``."""
+    """page_id, url and the blocks that markup leaves, as texts if ``with_text``, else as hashes and lengths."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [lines(x or "") for x in batch.column("html").to_pylist()]
-            columns = {"page_id": batch.column("page_id"), "url": batch.column("url"), "__page": batch.column("__page"),
-                       "__hashes": pa.array([_hash([t for t, _ in f]) for f in found], pa.list_(pa.int64()))}
+            found = [_kept(lines(x or "")) for x in batch.column("html").to_pylist()]
+            columns = {"page_id": batch.column("page_id"), "url": batch.column("url"), "__page": batch.column("__page")}
             if with_text:
-                columns |= {"__texts": pa.array([[t for t, _ in f] for f in found], pa.list_(pa.string())),
-                            "__regions": pa.array([[r for _, r in f] for f in found], pa.list_(pa.int8()))}
+                columns |= {"__texts": pa.array(found, pa.list_(pa.string()))}
             else:
-                columns |= {"__sizes": pa.array([[len(t) for t, _ in f] for f in found], pa.list_(pa.int32()))}
+                columns |= {"__hashes": pa.array([_hash(f) for f in found], pa.list_(pa.int64())),
+                            "__sizes": pa.array([[len(t) for t in f] for f in found], pa.list_(pa.int32()))}
             yield pa.record_batch(columns)
 
     kind = pages.schema["page_id"].dataType.simpleString()
     rows = pages.select("page_id", "url", "html", F.xxhash64("page_id", "url", "html").alias("__page"))
-    return rows.mapInArrow(run, f"page_id {kind}, url string, __page long, __hashes array<long>" + (
-        ", __texts array<string>, __regions array<byte>" if with_text else ", __sizes array<int>"))
+    return rows.mapInArrow(run, f"page_id {kind}, url string, __page long, " + (
+        "__texts array<string>" if with_text else "__hashes array<long>, __sizes array<int>"))
+
+
+def _site_lines(dealt: DataFrame) -> DataFrame:
+    """``(__host, __site)``: blocks on more than half of a host's different pages, if it has three or more."""
+    # Exact copies, however many, are one page.
+    unlike = dealt.groupBy("__host", "__hashes").agg(F.lit(1).alias("_one"))
+    pages = unlike.groupBy("__host").agg(F.count(F.lit(1)).alias("_pages")).where("_pages > 2")
+    on = unlike.select("__host", F.explode(F.array_distinct("__hashes")).alias("_line")).groupBy("__host", "_line").agg(
+        F.count(F.lit(1)).alias("_on")).where("_on > 2")
+    return on.join(pages, "__host").where("_on * 2 > _pages").groupBy("__host").agg(F.collect_list("_line").alias("__site"))
 
 
 def _neighbours(pages: DataFrame) -> DataFrame:
-    """Each distinct page with its blocks and those of the pages before and after it by path within its host.
+    """Each distinct page with its blocks and those of the nearest pages before and after it, by path within
+    its host, that are no copies of it; pages without blocks are left out.
 
     Pages are dealt by ranges of (host, path, id), so the pages of a large host lie in many
-    partitions, and looked at in order within each; the first and last of a partition, one row
-    each, are handed on to the partitions beside it.
+    partitions, and looked at in order within each; what a page needs from beyond its partition
+    is handed on, one row a partition: the page at the border, then the page before the last, or
+    after the first, run of copies.
     """
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#]*)", 1))
     path = F.regexp_replace(F.coalesce("url", F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^/?#]*", "")
-    keys = _parsed(pages, with_text=False).dropDuplicates(["page_id", "url", "__page"]).withColumns({"__host": host, "__path": path})
+    keys = _parsed(pages, with_text=False).where(F.size("__hashes") > 0).dropDuplicates(["page_id", "url", "__page"]).withColumns({"__host": host, "__path": path})
     order = ["__host", "__path", "page_id", "__page"]
     dealt = stored(keys.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
+    # What is a page's own: its blocks, with their lengths, that are not those of the site.
+    own = F.array_distinct(F.filter(F.arrays_zip("__hashes", "__sizes"), lambda x: ~F.coalesce(F.array_contains("__site", x["__hashes"]), F.lit(False))))
+    rows = dealt.join(_site_lines(dealt), "__host", "left").withColumn("__own", own).drop("__site", "__sizes")
     within = Window.partitionBy("__part").orderBy(*order)
-    beside = F.struct("__host", "__hashes")
-    first = dealt.groupBy("__part").agg(F.min_by(beside, F.struct(*order)).alias("__first"), F.max_by(beside, F.struct(*order)).alias("__last"))
+    back = Window.partitionBy("__part").orderBy(*[F.col(c).desc() for c in order])
+    beside = F.struct("__host", "__hashes", "__own")
+    first = rows.groupBy("__part").agg(F.min_by(beside, F.struct(*order)).alias("__first"), F.max_by(beside, F.struct(*order)).alias("__last"))
     parts = Window.orderBy("__part")  # a row per partition
     edges = first.select("__part", F.lag("__last").over(parts).alias("__edge_before"), F.lead("__first").over(parts).alias("__edge_after"))
-    rows = dealt.withColumns({"__before": F.lag(beside).over(within), "__after": F.lead(beside).over(within)}).join(edges, "__part")
+    rows = rows.withColumns({"__before": F.lag(beside).over(within), "__after": F.lead(beside).over(within)}).join(edges, "__part")
+    length = lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda n, y: n + y["__sizes"])
+    copy = lambda c: (c["__host"] == F.col("__host")) & ((c["__hashes"] == F.col("__hashes")) | (
+        length(F.array_intersect(c["__own"], "__own")) > F.least(length(c["__own"]), length(F.col("__own"))) * F.lit(COPY)))
+    # Where a run of copies begins or ends, the page beyond it.
+    other = lambda c: F.when(~copy(c), F.struct(c["__host"].alias("__host"), c["__hashes"].alias("__hashes")))
+    rows = stored(rows.withColumns({"__before": F.coalesce("__before", "__edge_before"), "__after": F.coalesce("__after", "__edge_after")}).select(
+        *order, "url", "__part", "__hashes", other(F.col("__before")).alias("__before"), other(F.col("__after")).alias("__after")))
+    ends = rows.groupBy("__part").agg(F.max_by("__before", F.when(F.col("__before").isNotNull(), F.struct(*order))).alias("_b"),
+                                      F.min_by("__after", F.when(F.col("__after").isNotNull(), F.struct(*order))).alias("_a"))
+    beyond = ends.select("__part", F.last("_b", True).over(parts.rowsBetween(Window.unboundedPreceding, -1)).alias("__edge_before"),
+                         F.last("_a", True).over(Window.orderBy(F.desc("__part")).rowsBetween(Window.unboundedPreceding, -1)).alias("__edge_after"))
+    upto = (Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumns({"__before": F.last("__before", True).over(within.rowsBetween(*upto)), "__after": F.last("__after", True).over(back.rowsBetween(*upto))}).join(beyond, "__part")
     same = lambda c: F.when(c["__host"] == F.col("__host"), c["__hashes"])
-    return rows.select("page_id", "url", "__page", "__hashes", "__sizes", same(F.coalesce("__before", "__edge_before")).alias("__before"),
+    return rows.select("page_id", "url", "__page", "__hashes", same(F.coalesce("__before", "__edge_before")).alias("__before"),
                        same(F.coalesce("__after", "__edge_after")).alias("__after"))
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The places of the blocks that a page shares, in order, with a neighbour that is no copy of it."""
+    """The places of the blocks that a page shares, in order, with a neighbour."""
     for batch in batches:
         out = []
-        for own, sizes, before, after in zip(*(batch.column(c).to_pylist() for c in ("__hashes", "__sizes", "__before", "__after"))):
+        for own, before, after in zip(*(batch.column(c).to_pylist() for c in ("__hashes", "__before", "__after"))):
             shared = np.zeros(len(own), bool)
             for other in (before, after):
-                if own and other:
-                    same = common(np.array(own), np.array(other))
-                    if np.array(sizes)[same].sum() <= COPY * sum(sizes):
-                        shared |= same
+                if other:
+                    shared |= common(np.array(own), np.array(other))
             out.append(np.flatnonzero(shared).tolist())
         yield pa.record_batch([batch.column("page_id"), batch.column("url"), batch.column("__page"), pa.array(out, pa.list_(pa.int32()))], ["page_id", "url", "__page", "__shared"])
 
@@ -258,23 +290,23 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
-        for texts, regions, shared in zip(*(batch.column(c).to_pylist() for c in ("__texts", "__regions", "__shared"))):
+        for texts, shared in zip(*(batch.column(c).to_pylist() for c in ("__texts", "__shared"))):
             gone = set(shared or ())
-            marked = ARTICLE in regions
-            # Furniture goes by its markup, or by its being shared; what stands in the article itself is the article's.
-            keep = [t for i, (t, r) in enumerate(zip(texts, regions)) if r == ARTICLE or not marked and r == BODY and i not in gone]
-            out.append("\n\n".join(keep))
+            out.append("\n\n".join(t for i, t in enumerate(texts) if i not in gone))
         yield pa.record_batch([batch.column("page_id"), batch.column("url"), pa.array(out, pa.string())], ["page_id", "url", "text"])
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """``page_id, url, text, n_chars`` for every row of ``pages`` (page_id, url, html).
 
-    Blocks that a page shares in order with the page before or after it, by path within its
-    host, are furniture and go, as do those that markup names as such; blocks that stand in an
-    article or main element stay though a neighbour repeats them. A neighbour that shares over
-    COPY of the page's text is a copy and tells nothing. Without such an element, all blocks
-    that are neither shared nor marked stay.
+    Blocks that a page shares, in order, with the nearest page before or after it that is no copy
+    of it, by path within its host, are furniture and go, in article and main elements too.
+    Markup is an extra filter: it takes what it names as furniture and, on pages with an article
+    or main element, what stands outside; neighbours are compared in the blocks that it leaves.
+
+    A page's own blocks are those that at most half of the different pages of its host have (all
+    of them where there are fewer than three). Pages are copies if all their blocks are equal, or
+    if more than COPY of the own text of the smaller one is in the other.
 
     Null html is empty and gives an empty text; a null url is a host and path of its own.
     Repeated rows give repeated results and are no neighbours of each other.
@@ -283,5 +315,5 @@ def extract(pages: DataFrame) -> DataFrame:
     shared = _neighbours(pages).mapInArrow(_shared, f"page_id {kind}, url string, __page long, __shared array<int>").alias("s")
     rows = _parsed(pages, with_text=True).alias("p").join(
         shared, (F.col("p.__page") == F.col("s.__page")) & F.col("p.page_id").eqNullSafe(F.col("s.page_id")) & F.col("p.url").eqNullSafe(F.col("s.url")), "left")
-    rows = rows.select("p.page_id", "p.url", "p.__texts", "p.__regions", "s.__shared")
+    rows = rows.select("p.page_id", "p.url", "p.__texts", "s.__shared")
     return rows.mapInArrow(_joined, f"page_id {kind}, url string, text string").withColumn("n_chars", F.length("text").cast("long"))

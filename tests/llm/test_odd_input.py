@@ -116,6 +116,24 @@ def test_markup_keeps_articles(page):
     assert [t for t, r in found if r == (pagetext.ARTICLE if article else pagetext.BODY)] == ["Own text"]
 
 
+def test_shared_lines_in_articles(spark):
+    def page(tag, own):
+        return f"<nav>Home</nav><{tag}><div>A long notice on all the pages of this site, with more text than they have themselves</div><p>{own}</p></{tag}>"
+
+    texts = {i: f"Own text {i}" for i in range(40)}
+    rows = [(i, f"http://h{i % 2}/{i // 2:02}", page("article" if i % 2 else "main", t)) for i, t in texts.items()]
+    # Copies beside each other, more than a partition holds, and the last but one page of a host.
+    rows += [(100 + i, f"http://h0/05/{i:02}", page("main", "Copied text that stands on a run of pages")) for i in range(30)]
+    rows += [(200 + i, f"http://h1/99/{i}", page("article", "Copied text at the end")) for i in range(2)]
+    # Two nearly equal pages beside unlike ones.
+    near = ["A paragraph that two pages have", "Another paragraph that both of them have too"]
+    rows += [(300 + i, f"http://n/{i}", f"<main><p>Notice</p>{''.join(f'<p>{t}</p>' for t in own)}</main>") for i, own in enumerate([["First page here"], [*near, "one"], [*near, "two"], ["Last page here"]])]
+    want = texts | {100 + i: "Copied text that stands on a run of pages" for i in range(30)} | {200 + i: "Copied text at the end" for i in range(2)}
+    want |= {300: "First page here", 301: "\n\n".join([*near, "one"]), 302: "\n\n".join([*near, "two"]), 303: "Last page here"}
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    assert {r.page_id: r.text for r in pagetext.extract(pages).collect()} == want
+
+
 @pytest.mark.parametrize("k", range(5))
 def test_stages(spark, tmp_path, odd_wide, empty, labels, k):
     labels.write.parquet(f"{tmp_path}/labels.parquet")
