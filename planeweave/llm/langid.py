@@ -18,22 +18,41 @@ SAMPLE = 400
 #: Weight rows; a feature's hash chooses its row.
 ROWS = 1 << 18
 SEGMENT = 48
-#: Longest part of a word that is looked at, from either end; a longer word keeps both ends.
-PART = 12
+#: Longest word that is one label of the chain; a longer one is cut into several.
+PIECE = 24
+#: Stands at an end of a piece where its word goes on; no byte of UTF-8.
+OPEN = b"\xff"
 #: Words kept with their emissions per worker task.
 CACHE = 400_000
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
+def labels(text: bytes) -> list[bytes]:
+    """The words of a text. One over PIECE bytes is cut into pieces that overlap by two bytes, so that
+    each two- and three-byte gram of it stands in one."""
+    found = text.split()
+    if not found or max(map(len, found)) <= PIECE:
+        return found
+    out = []
+    for w in found:
+        if len(w) <= PIECE:
+            out.append(w)
+            continue
+        starts = range(0, len(w) - 2, PIECE - 2)
+        out += [(OPEN if i else b"") + w[i:i + PIECE] + (OPEN if i + PIECE < len(w) else b"") for i in starts]
+    return out
+
+
 def word_features(words: list[bytes]) -> np.ndarray:
     """Rows of the weight table for each word: lexicon entry, prefixes and suffixes of one to
-    four bytes, and all two- and three-byte grams. Row 0 stands for no feature."""
+    four bytes, and all two- and three-byte grams. Row 0 stands for no feature. An open end of a piece
+    is none of its word: there are no prefixes or suffixes there, nor grams with its mark."""
     n = len(words)
     lower = [w.translate(_LOWER) for w in words]
-    cut = [b"<" + (w if len(w) <= 2 * PART else w[:PART] + w[-PART:]) + b">" for w in lower]
+    cut = [(w if w[:1] == OPEN else b"<" + w) + (b"" if w[-1:] == OPEN else b">") for w in lower]
     size = np.array([len(c) for c in cut], np.int64)
-    width = 2 * PART + 2
+    width = max(PIECE + 2, int(size.max(initial=0)))
     grid = np.frombuffer(b"".join(c.ljust(width, b"\0") for c in cut), np.uint8).reshape(n, width).astype(np.uint64)
     mix = np.uint64(0x9E3779B97F4A7C15)
 
@@ -43,10 +62,14 @@ def word_features(words: list[bytes]) -> np.ndarray:
         return ((h * mix) >> np.uint64(40)) % np.uint64(ROWS - 1) + np.uint64(1)
 
     out = []
+    mark = grid == OPEN[0]
+    mark_two = mark[:, :-1] | mark[:, 1:]
+    ends = mark[:, 0], mark[np.arange(n), size - 1]
     two = grid[:, :-1] * np.uint64(256) + grid[:, 1:]
     three = two[:, :-1] * np.uint64(256) + grid[:, 2:]
-    for k, grams in ((2, two), (3, three)):
+    for k, grams, marked in ((2, two, mark_two), (3, three, mark_two[:, :-1] | mark[:, 2:])):
         rows = row(grams, k)
+        rows[marked] = 0
         rows[np.arange(rows.shape[1])[None, :] > (size - k)[:, None]] = 0
         out.append(rows)
     head = np.zeros(n, np.uint64)
@@ -56,9 +79,9 @@ def word_features(words: list[bytes]) -> np.ndarray:
         at = np.maximum(size - 1 - k, 0)
         tail = tail + grid[np.arange(n), at] * np.uint64(257 ** (k - 1))
         long_enough = size - 2 >= k
-        for h, kind in ((head, 10 + k), (tail, 20 + k)):
+        for h, kind, end in ((head, 10 + k, ends[0]), (tail, 20 + k, ends[1])):
             rows = row(h, kind)
-            rows[~long_enough] = 0
+            rows[~long_enough | end] = 0
             out.append(rows[:, None])
     whole_word = np.zeros(n, np.uint64)
     for j in range(width):
@@ -180,14 +203,14 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Crf | None:
         ids = own if ids is None else ids.unionByName(own)
     rows = known.join(F.broadcast(ids.distinct()), ["doc_id", "lang"], "left_semi").select("lang", F.col("text").cast("binary").alias("text"))
     # Sorted, so that the sample's order, and with it the model, does not depend on partitions.
-    return fit(sorted((r[0], list(bytes(r[1]).split())) for r in rows.collect()), sorted(languages))
+    return fit(sorted((r[0], labels(bytes(r[1]))) for r in rows.collect()), sorted(languages))
 
 
 def _batch(model: Crf, texts: list[bytes], cache: dict[bytes, int], known: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Mean word marginals (B, L) of whole texts, chains of like length together."""
     rows, sizes = [], np.zeros(len(texts), np.int64)
     for i, text in enumerate(texts):
-        own = np.fromiter(map(cache.__getitem__, text.split()), np.int64)
+        own = np.fromiter(map(cache.__getitem__, labels(text)), np.int64)
         rows.append(own)
         sizes[i] = len(own)
     new = len(cache) - sum(len(k) for k in known)
@@ -216,7 +239,7 @@ def _batch(model: Crf, texts: list[bytes], cache: dict[bytes, int], known: list[
 def label(docs: DataFrame, model: Crf | None) -> DataFrame:
     """``doc_id, lang_pred, score`` for every row: the language whose words are likeliest in the mean.
 
-    Every word of the whole text is in the chain. A text that is null or has no letter, and any
+    Every word of the whole text is in the chain, a long one in pieces. A text that is null or has no letter, and any
     text when nothing was learned, is ``und`` with score 0. Ties go to the first language by name.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,6 +1,8 @@
 """The methods themselves: filters, plans, sequences, fields and estimators on small cases with known answers."""
 
 import random
+from collections import defaultdict
+from itertools import count
 
 import numpy as np
 import pytest
@@ -125,6 +127,18 @@ def test_field_labels_words_of_a_mixed_text():
     assert list(marginals[:, 0].argmax(1)) == [1] * 4 + [0] * 4
 
 
+def test_field_reads_long_words_whole():
+    en, de = "thewalkertalkedgentlywithothersneartheharbour", "derwanderersprachleisemitanderennahedemhafen"
+    model = langid.fit([("en", langid.labels(" ".join([en[i:], *en[i:i + 9].split()]).encode()) * 12) for i in range(8)] + [
+        ("de", langid.labels(" ".join([de[i:], *de[i:i + 9].split()]).encode()) * 12) for i in range(8)], ["de", "en"], rounds=4)
+    texts = [b"0" * 60 + middle.encode() + b"0" * 60 for middle in (de, en)]
+    mean, _ = langid._batch(model, texts, defaultdict(count().__next__), [])
+    assert list(mean.argmax(1)) == [0, 1]
+    for text in (de.encode() * n + b"x" * k for n in (1, 3) for k in range(25)):
+        pieces = [p.strip(langid.OPEN) for p in langid.labels(text)]
+        assert pieces[0] + b"".join(p[2:] for p in pieces[1:]) == text and max(map(len, pieces)) <= langid.PIECE
+
+
 def test_positive_unlabelled_learning_finds_the_toxic_among_unlabelled():
     dice = np.random.default_rng(2)
     toxic = dice.random(1200) < 0.1
