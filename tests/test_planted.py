@@ -492,3 +492,24 @@ def test_stream_keeps_latest_rows(spark, tmp_path):
         incremental.collect_results(spark.readStream.schema(ddl).parquet(src), measure, out, state).trigger(availableNow=True).start().awaitTermination()
     got = {r.image_id: r.area for r in incremental.latest_results(spark, out).collect()}
     assert got == {"a": 11.0, "b": 2.0}
+
+
+def test_saddles_in_turn_and_by_rounds_agree_on_ties(spark):
+    import numpy as np
+    import pandas as pd
+
+    rows, peaks, want = [], [], {}
+    for image in range(60):
+        dice = np.random.default_rng(image)
+        n = 9
+        height = {t: float(dice.integers(4, 7)) for t in range(n)}
+        pairs = sorted({tuple(sorted(map(int, dice.choice(n, 2, replace=False)))) for _ in range(16)})
+        own = [(a, b, float(dice.integers(2, 5))) for a, b in pairs]
+        rows += [(image, *r) for r in own]
+        peaks += [(image, t, h) for t, h in height.items()]
+        frame = pd.DataFrame([(*r, height[r[0]], height[r[1]]) for r in own], columns=["a", "b", "saddle", "peak_a", "peak_b"])
+        want |= {(image, t): k for t, k in objects._merge_in_turn(frame, 2.0).itertuples(index=False)}
+    got = objects._merge_by_rounds(spark.createDataFrame(peaks, "image int, top long, height double"),
+                                   spark.createDataFrame(rows, "image int, a long, b long, saddle double"), ["image"], 2.0).collect()
+    found = {(r.image, r.top): r.basin for r in got}
+    assert {k: found[k] for k in want} == want
