@@ -142,13 +142,15 @@ def _seeds(spark, sf):
         F.expr("cast(s_suppkey * 3 % 64 as int)").alias("y"), F.expr("cast(s_suppkey * 7 % 64 as int)").alias("x"))
 
 
+#: Half of each plane's pixels; the last plane may be lower than the others.
+_CAP = """pc AS (SELECT page, floor((max(x) + 1) * (max(y) + 1) * 0.5::DOUBLE) AS cap FROM r1 GROUP BY page)"""
 _R1M = R1.replace("r1 AS (", "r1 AS MATERIALIZED (")
 
 
 @query("g7_grow_regions", f"""WITH RECURSIVE {_R1M}, {_SEED},
 tl AS MATERIALIZED (SELECT sd.*, 0 AS step, 0.03::DOUBLE AS tol, r1.value AS v0 FROM sd JOIN r1 USING (image_id, page, y, x)),
-{_grow_sql('tol')}
-SELECT 'emb_' || (page // 8) AS image_id, page, seed_id, min(x) AS bx, min(y) AS by, max(x) - min(x) + 1 AS width, max(y) - min(y) + 1 AS height, count(*) AS area, count(*) > 2048 AS leaked FROM gr GROUP BY ALL""")
+{_grow_sql('tol')}, {_CAP}
+SELECT 'emb_' || (page // 8) AS image_id, page, seed_id, min(x) AS bx, min(y) AS by, max(x) - min(x) + 1 AS width, max(y) - min(y) + 1 AS height, count(*) AS area, count(*) > any_value(cap) AS leaked FROM gr JOIN pc USING (page) GROUP BY page, seed_id""")
 def g7(spark, sf):
     return O.grow_regions(_seeds(spark, sf), views.float_stack(spark, sf), _planes(spark, sf), tolerance=0.03)
 
@@ -159,9 +161,9 @@ nu AS (SELECT seed_id, v[len(v) // 2 + 1] AS m, unnest(v) AS e FROM nv),
 nd AS (SELECT seed_id, list_sort(list(abs(e - m))) AS d FROM nu GROUP BY ALL),
 tl AS MATERIALIZED (SELECT sd.*, CAST(k.i AS INTEGER) AS step, greatest(d[len(d) // 2 + 1] * 1.4826::DOUBLE, 1e-9::DOUBLE) * pow(1.5::DOUBLE, k.i) AS tol, r1.value AS v0
   FROM sd JOIN r1 USING (image_id, page, y, x) JOIN nd USING (seed_id) CROSS JOIN range(14) k(i)),
-{_grow_sql('tol')},
+{_grow_sql('tol')}, {_CAP},
 ar AS (SELECT seed_id, step, page, count(*) AS area FROM gr GROUP BY ALL),
-lk AS (SELECT *, max(CASE WHEN area > 2048 THEN 1 ELSE 0 END) OVER (PARTITION BY seed_id ORDER BY step) AS leak FROM ar),
+lk AS (SELECT *, max(CASE WHEN area > cap THEN 1 ELSE 0 END) OVER (PARTITION BY seed_id ORDER BY step) AS leak FROM ar JOIN pc USING (page)),
 cd AS (SELECT *, row_number() OVER (PARTITION BY seed_id ORDER BY step) AS k, count(*) OVER (PARTITION BY seed_id) AS n, lead(area) OVER (PARTITION BY seed_id ORDER BY step) AS nx FROM lk WHERE leak = 0),
 pk AS (SELECT *, row_number() OVER (PARTITION BY seed_id ORDER BY CASE WHEN n <= 2 THEN -k::DOUBLE WHEN area >= 12 AND nx IS NOT NULL THEN (nx - area)::DOUBLE / area ELSE 1e18::DOUBLE END, k) AS rk FROM cd)
 SELECT 'emb_' || (sd.page // 8) AS image_id, sd.page, sd.seed_id, pk.step, {rd("tl.tol")} AS tolerance, pk.area FROM sd LEFT JOIN pk ON pk.seed_id = sd.seed_id AND rk = 1 LEFT JOIN tl ON tl.seed_id = pk.seed_id AND tl.step = pk.step""")
