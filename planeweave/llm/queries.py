@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from planeweave.llm import jaccard, langid, linededup, lmscore, mixing, packing, pagetext, quality, spotsigs, toxicity
+from planeweave.llm import jaccard, langid, linededup, lmscore, merkle, mixing, packing, pagetext, quality, spotsigs, toxicity, vectorcodes, warc
 from planeweave.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,3 +72,18 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_page_text")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pagetext.extract(table(spark, sf_dir, "pages"))
+
+
+@query("op11_warc", warc.SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+@query("op12_vector_codes", vectorcodes.SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectorcodes.quantized(table(spark, sf_dir, "embeddings"))
+
+
+@query("op13_merkle_manifest", merkle.SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verified(table(spark, sf_dir, "documents"))
