@@ -39,6 +39,7 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Rows handed to Arrow together: as many records as reach this size, at least one.
 BATCH_BYTES = 4 << 20
 CHUNK = 1 << 20
+SALTS = 64
 
 RECORDS_DDL = ("kind string, record_id string, concurrent_to string, refers_to string, uri string, date string, "
                "declared_digest string, http string, fields string, payload binary")
@@ -213,6 +214,14 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     return out.withColumns({"payload_digest": F.sha1("payload"), "payload_bytes": F.octet_length("payload").cast("long")})
 
 
+def _looked_up(rows: DataFrame, key: str, row_id: str, found: DataFrame) -> DataFrame:
+    """The rows with what ``found`` has for their key (one row a key), nulls where it has nothing. A key of
+    very many rows is dealt to SALTS tasks: what is found goes once to each that has rows of the key."""
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(row_id), F.lit(SALTS)))
+    wanted = salted.where(F.col(key).isNotNull()).select(key, "_salt").distinct()
+    return salted.join(wanted.join(found, key), [key, "_salt"], "left").drop("_salt")
+
+
 def assemble(found: DataFrame) -> DataFrame:
     """One nested row per capture: ``capture_id, uri, date, request, response, metadata`` (structs),
     and the payload's digest and size; a revisit takes them from the response that it refers to.
@@ -232,7 +241,7 @@ def assemble(found: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("_copies"), *[F.first(c).alias(c) for c in ("kind", "refers_to", "uri", "date", "declared_digest", "http", *carried)])
     bodies = main.where(F.col("kind") == RESPONSE).select(F.col("record_id").alias("refers_to"), *[F.col(c).alias(f"_{c}") for c in carried])
     own = main.where(F.col("kind") == RESPONSE).select("*", *[F.col(c).alias(f"_{c}") for c in carried])
-    again = main.where(F.col("kind") == REVISIT).join(bodies, "refers_to", "left").select(own.columns)
+    again = _looked_up(main.where(F.col("kind") == REVISIT), "refers_to", "record_id", bodies).select(own.columns)
     c = own.unionByName(again).withColumnRenamed("record_id", "capture_id")
     c = c.join(side(REQUEST, "http"), "capture_id", "left").join(side(METADATA, "fields"), "capture_id", "left")
     reply = F.struct("kind", "refers_to", "declared_digest", "http").alias("response")
@@ -255,7 +264,7 @@ def round_trip(pages: DataFrame, per_file: int = PER_FILE) -> DataFrame:
     got = got.select(F.col("capture_id"), page_id_of(F.col("metadata.fields")).alias("page_id"), "payload_bytes", "payload_digest",
                      F.col("response.kind").alias("record_type"), F.col("response.refers_to").alias("_to"))
     named = got.where(F.col("record_type") == RESPONSE).groupBy(F.col("capture_id").alias("_to")).agg(F.first("page_id").alias("refers_to"))
-    return got.join(named, "_to", "left").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return _looked_up(got, "_to", "capture_id", named).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 SQL = f"""WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
