@@ -310,23 +310,6 @@ def clamp_int(v: int, lo: int, hi: int) -> int:
     return max(lo, min(hi, v))
 
 
-def stability_masks(small: DataFrame, hist_header: DataFrame, samples: int = 64,
-                    dark_background: bool = True) -> DataFrame:
-    """Foreground pixels of each threshold, keyed by ``bin_index`` besides the plane.
-
-    A pixel belongs to a prefix (or suffix) of the threshold list, so only the indices it
-    satisfies are generated: no row is emitted and then filtered.
-    """
-    bins = stability_bins(samples)
-    values = F.transform(F.array(*[F.lit(b) for b in bins]),
-                         lambda b: upper_edge(b, F.col("lo"), F.col("hi")))
-    px = small.where(F.abs("value") < float("inf")).join(hist_header.select(*PLANE, "lo", "hi"), PLANE)
-    v = F.col("value")
-    test = (lambda t: v >= t) if dark_background else (lambda t: v <= t)
-    on = F.filter(F.transform(values, lambda t, i: F.when(test(t), i)), lambda i: i.isNotNull())
-    return px.select(*PLANE, "y", "x", F.explode(on).alias("bin_index"))
-
-
 def widest_plateau(curve: DataFrame) -> DataFrame:
     """Suggested bin of each stability curve: middle of the longest run of steady counts.
 

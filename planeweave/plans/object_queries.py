@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from planeweave.functions.numeric import rnd
-from planeweave.operators import components as G
+from planeweave.operators import components as G, growth
 from planeweave.operators import objects as O
 from planeweave.operators.stats import plane_headers
 from planeweave.plans.registry import HIST, R1, query, rd
@@ -152,7 +152,7 @@ tl AS MATERIALIZED (SELECT sd.*, 0 AS step, 0.03::DOUBLE AS tol, r1.value AS v0
 {_grow_sql('tol')}, {_CAP}
 SELECT 'emb_' || (page // 8) AS image_id, page, seed_id, min(x) AS bx, min(y) AS by, max(x) - min(x) + 1 AS width, max(y) - min(y) + 1 AS height, count(*) AS area, count(*) > any_value(cap) AS leaked FROM gr JOIN pc USING (page) GROUP BY page, seed_id""")
 def g7(spark, sf):
-    return O.grow_regions(_seeds(spark, sf), views.float_stack(spark, sf), _planes(spark, sf), tolerance=0.03)
+    return growth.grow_regions(_seeds(spark, sf), views.float_stack(spark, sf), _planes(spark, sf), tolerance=0.03)
 
 
 @query("g8_grow_regions_auto", f"""WITH RECURSIVE {_R1M}, {_SEED},
@@ -168,7 +168,7 @@ cd AS (SELECT *, row_number() OVER (PARTITION BY seed_id ORDER BY step) AS k, co
 pk AS (SELECT *, row_number() OVER (PARTITION BY seed_id ORDER BY CASE WHEN n <= 2 THEN -k::DOUBLE WHEN area >= 12 AND nx IS NOT NULL THEN (nx - area)::DOUBLE / area ELSE 1e18::DOUBLE END, k) AS rk FROM cd)
 SELECT 'emb_' || (sd.page // 8) AS image_id, sd.page, sd.seed_id, pk.step, {rd("tl.tol")} AS tolerance, pk.area FROM sd LEFT JOIN pk ON pk.seed_id = sd.seed_id AND rk = 1 LEFT JOIN tl ON tl.seed_id = pk.seed_id AND tl.step = pk.step""")
 def g8(spark, sf):
-    return O.grow_regions_auto(_seeds(spark, sf), views.float_stack(spark, sf), _planes(spark, sf)).withColumn("tolerance", rnd("tolerance"))
+    return growth.grow_regions_auto(_seeds(spark, sf), views.float_stack(spark, sf), _planes(spark, sf)).withColumn("tolerance", rnd("tolerance"))
 
 
 def _curve(spark, sf):
@@ -177,12 +177,45 @@ def _curve(spark, sf):
     return O.stability_curve(s, plane_headers(s), rng, samples=16)
 
 
-@query("t14_stability_curve")
+def _contracted(rounds: int = 8, doublings: int = 8) -> str:
+    """Components of every mask by contraction: each node joins its smallest neighbour, pointers double until they
+    stand at a root, and the edges between roots go on. Node: (page * 16 + bin_index) * 4096 + pixel."""
+    steps = ["""ed0 AS MATERIALIZED (SELECT a.i, b.i AS j FROM on_ a JOIN on_ b ON b.i = a.i + 1 WHERE b.y = a.y
+  UNION ALL SELECT a.i, b.i AS j FROM on_ a JOIN on_ b ON b.i = a.i + 64 WHERE b.y = a.y + 1)"""]
+    for k in range(rounds):
+        steps.append(f"d{k}_0 AS MATERIALIZED (SELECT i, least(i, min(j)) AS p FROM (SELECT i, j FROM ed{k} UNION ALL SELECT j, i FROM ed{k}) GROUP BY i)")
+        steps += [f"d{k}_{m + 1} AS MATERIALIZED (SELECT a.i, b.p FROM d{k}_{m} a JOIN d{k}_{m} b ON a.p = b.i)" for m in range(doublings)]
+        last = f"d{k}_{doublings}"
+        steps += [f"x{k} AS MATERIALIZED (SELECT d.p AS i, e.j FROM ed{k} e JOIN {last} d ON d.i = e.i)", f"y{k} AS MATERIALIZED (SELECT x.i, d.p AS j FROM x{k} x JOIN {last} d ON d.i = x.j)",
+                  f"ed{k + 1} AS MATERIALIZED (SELECT DISTINCT i, j FROM y{k} WHERE i <> j)"]
+    gone = " UNION ALL ".join(f"SELECT i FROM d{k}_{doublings} WHERE i <> p" for k in range(rounds))
+    return ",\n".join(steps) + f""",
+ct AS (SELECT i // 65536 AS page, i // 4096 % 16 AS bin_index, count(*) FILTER (s = 1) AS pixels, sum(s) AS objects FROM (SELECT i, 1 AS s FROM on_ UNION ALL SELECT i, -1 FROM ({gone})) GROUP BY ALL)"""
+
+
+_CURVE = f"""WITH RECURSIVE {R1}, tp AS (SELECT CAST(i AS INTEGER) AS bin_index, CAST(floor(i / 15.0::DOUBLE * 255 + 0.5) AS INTEGER) AS bin FROM range(16) r(i)),
+rg AS (SELECT image_id, page, min(value) AS lo, max(value) AS hi, count(*) AS px FROM r1 GROUP BY ALL),
+th AS MATERIALIZED (SELECT image_id, page, px, bin_index, bin, lo + (bin + 1) / 256.0::DOUBLE * (hi - lo) AS value FROM rg CROSS JOIN tp),
+on_ AS MATERIALIZED (SELECT (r1.page::BIGINT * 16 + th.bin_index) * 4096 + y * 64 + x AS i, y, x FROM r1 JOIN th ON th.page = r1.page AND r1.value >= th.value),
+{_contracted()},
+cv AS (SELECT th.image_id, th.page, th.bin_index, bin, value, coalesce(objects, 0) AS object_count, coalesce(pixels, 0)::DOUBLE / px AS area_fraction FROM th LEFT JOIN ct USING (page, bin_index))"""
+
+
+@query("t14_stability_curve", f"""{_CURVE}
+SELECT image_id, page, bin_index, bin, {rd("value")} AS value, object_count, {rd("area_fraction")} AS area_fraction FROM cv""")
 def t14(spark, sf):
     c = _curve(spark, sf)[0]
     return c.withColumn("value", rnd("value")).withColumn("area_fraction", rnd("area_fraction"))
 
 
-@query("t14_suggested_bin")
+@query("t14_suggested_bin", f"""{_CURVE},
+ru(page, i, start) AS (SELECT page, 0, 0 FROM rg UNION ALL
+  SELECT r.page, r.i + 1, CASE WHEN abs(c.object_count - s.object_count) > greatest(1.0::DOUBLE, s.object_count * 0.1::DOUBLE) THEN r.i + 1 ELSE r.start END
+  FROM ru r JOIN cv c ON c.page = r.page AND c.bin_index = r.i + 1 JOIN cv s ON s.page = r.page AND s.bin_index = r.start),
+rl AS (SELECT page, start, count(*) AS len FROM ru GROUP BY ALL),
+us AS (SELECT rl.*, row_number() OVER (PARTITION BY rl.page ORDER BY len DESC, start) AS rk FROM rl JOIN cv m ON m.page = rl.page AND m.bin_index = start + len // 2
+  WHERE m.object_count > 0 AND m.area_fraction > 0.0005::DOUBLE AND m.area_fraction < 0.95::DOUBLE)
+SELECT rg.image_id, rg.page, cv.bin AS suggested_bin, CAST(coalesce(len, 0) AS INTEGER) AS plateau_width FROM rg LEFT JOIN us ON us.page = rg.page AND rk = 1
+  JOIN cv ON cv.page = rg.page AND cv.bin_index = coalesce(start + len // 2, 8)""")
 def t14b(spark, sf):
     return _curve(spark, sf)[1]
