@@ -212,6 +212,36 @@ def p10(spark, sf):
     return out.select("stack_id", "y", "x", rnd(nan_to_null(F.get("data", 0))).alias("value"), rnd("alpha").alias("alpha"))
 
 
+#: Settings of the adjustment layers below.
+_SETTINGS = {"invert": {"type": "curves", "rgb": [(0, 255), (255, 0)]}, "lift": {"type": "levels", "rgb": {"shadow_output": 51, "highlight_output": 255}}}
+
+
+@query("p9_layer_stack_adjusted", f"""WITH {_L3}, mk AS (SELECT page AS stack_id, y + 3 AS y, x + 2 AS x, value FROM r1),
+w AS (SELECT v3.*, CASE WHEN m.value IS NULL THEN 0 ELSE greatest(0, least(1, m.value / 0.5)) END AS f FROM v3 LEFT JOIN mk m USING (stack_id, y, x)),
+sb AS (SELECT *, CASE WHEN b IS NOT NULL THEN greatest(0, least(1, b)) END AS bu FROM w),
+i1 AS (SELECT *, b + ((0.2::DOUBLE + bu * 0.8::DOUBLE) - b) * 0.5::DOUBLE AS bs, greatest(0, least(1, a)) AS au FROM sb),
+i2 AS (SELECT *, a + ((1 - au) - a) * (0.8::DOUBLE * f) AS am FROM i1),
+i3 AS (SELECT *, CASE WHEN b IS NULL THEN am WHEN a IS NULL THEN bs ELSE am * 0.25::DOUBLE + bs * 0.75::DOUBLE END AS d FROM i2),
+i4 AS (SELECT *, CASE WHEN c IS NULL THEN d WHEN d IS NULL THEN c ELSE d + (d * c - d) * 0.5 END AS e FROM i3)
+SELECT stack_id, y, x, {rd("e", 5)} AS value FROM i4 WHERE e IS NOT NULL""")
+def p9a(spark, sf):
+    """Base, masked inversion, a layer with a clipped lift, and a multiplied layer on top."""
+    layers, pixels, canvas = _stack(spark, sf, ("normal", "normal", "raw-multiply"))
+    layers = layers.withColumn("setting", F.lit(None).cast("string")).withColumn("layer_order", F.col("layer_order") * 10)
+
+    def adjustment(order, name, opacity, clipped):
+        return layers.where("layer_order = 0").withColumns({
+            "layer_order": F.lit(order), "layer_id": F.concat_ws("/", "stack_id", F.lit(name)), "setting": F.lit(name), "opacity": F.lit(opacity),
+            "clipped": F.lit(clipped), "mode": F.lit("normal")})
+
+    every = layers.unionByName(adjustment(5, "invert", 0.8, False)).unionByName(adjustment(15, "lift", 0.5, True))
+    masks = every.where("setting = 'invert'").select("layer_id", F.col("stack_id").alias("mask_id"), F.lit(False).alias("invert"), F.lit(0.5).alias("mask_max"),
+                                                     F.lit(2).alias("mask_x"), F.lit(3).alias("mask_y"))
+    mpx = views.float_stack(spark, sf).select(F.col("page").alias("mask_id"), "y", "x", "value")
+    out = L.composite_clipped(every, pixels, canvas, ["stack_id"], masks, mpx, _SETTINGS)
+    return out.select("stack_id", "y", "x", rnd(F.get("data", 0), 5).alias("value"))
+
+
 @query("p11_raster_mask", f"""WITH {_L3}, mk AS (SELECT page AS stack_id, y + 3 AS y, x + 2 AS x, value FROM r1),
 w AS (SELECT v3.*, CASE WHEN m.value IS NULL THEN 1 ELSE 1 - greatest(0, least(1, m.value / 0.5)) END AS f FROM v3 LEFT JOIN mk m USING (stack_id, y, x))
 SELECT stack_id, y, x, {rd("CASE WHEN b IS NULL OR f * 0.75::DOUBLE <= 0 THEN a WHEN a IS NULL THEN b ELSE a + (abs(a - b) - a) * (0.75::DOUBLE * f) END")} AS value, {rd("f")} AS factor
