@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from planeweave.functions.numeric import rnd
+from planeweave.functions.numeric import nan_to_null, rnd
 from planeweave.operators import datasets as D
-from planeweave.plans.registry import NAMES, R1, query, rd
+from planeweave.plans.registry import NAMES, R1, R2, query, rd
 from planeweave.schema import PLANE
 from planeweave.sources import raster_files as S1
+from planeweave.sources import raster_ranges as RR
 from planeweave.sources import views
 from planeweave.streaming import incremental as ST
 
@@ -200,6 +201,21 @@ def s1q(spark, sf):
     return S1.ingest(_pgm(spark, sf))[2].select("path")
 
 
+@query("s1_ingest_files", f"""WITH {R2} SELECT image_id || '_' || page || '_' || (y // 16 * 16) AS file, CAST(y % 16 AS INTEGER) AS y, x, channel,
+  CASE WHEN isfinite(value) THEN {rd("CAST(value AS FLOAT)::DOUBLE", 4)} END AS value FROM r2""")
+def s1f(spark, sf):
+    """Planes written as NPY, compressed NPZ and FITS files of 16 lines, and read back by byte ranges."""
+    s = views.sparse_channels(spark, sf)
+    folder = RR.make_folder(f"{ST.work_folder(spark)}/files")
+    for k, kind in enumerate(("npy", "npz", "fits")):
+        RR.write_bands(s.where(F.expr(f"page % 3 = {k}")), folder, kind, 16).agg(F.sum("count")).collect()
+    tiles, _, _ = RR.ingest(spark, folder, tile=8)
+    got = S1.tiles_to_samples(tiles)
+    slot = F.when(F.col("image_id").contains(".npz#"), F.regexp_extract("image_id", r"channel(\d+)\.npy$", 1).cast("int")).otherwise(F.col("channel") + F.col("page"))
+    return got.select(F.regexp_extract("image_id", r"([^/#]+)\.(npy|npz|fits)(#|$)", 1).alias("file"), "y", "x", slot.cast("int").alias("channel"),
+                      rnd(nan_to_null("value"), 4).alias("value"))
+
+
 def _event_stream(spark, sf):
     schema = views.table(spark, sf, "events").schema
     return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
@@ -208,13 +224,9 @@ def _event_stream(spark, sf):
 @query("st1_collect_results", f"""SELECT 'u_' || user_id AS image_id, event_type AS roi_kind, count(*) AS n, {rd("avg(value)", 9)} AS mean FROM events GROUP BY ALL""")
 def st1(spark, sf):
     out = ST.work_folder(spark)
-
-    def measure(batch):
-        return batch.groupBy(F.expr("concat('u_', user_id)").alias("image_id"), F.col("event_type").alias("roi_kind")).agg(
-            F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"))
-
-    ST.collect_results(_event_stream(spark, sf), measure, f"{out}/table", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
-    return ST.latest_results(spark, f"{out}/table").select("image_id", "roi_kind", "n", rnd("mean", 9).alias("mean"))
+    rows = _event_stream(spark, sf).select(F.expr("concat('u_', user_id)").alias("image_id"), F.col("event_type").alias("roi_kind"), "value", F.lit(0).alias("version"))
+    ST.collect_partials(rows, ["image_id", "roi_kind"], f"{out}/table", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
+    return ST.merged_results(spark, f"{out}/table", ["image_id", "roi_kind"]).select("image_id", "roi_kind", "n", rnd("mean", 9).alias("mean"))
 
 
 @query("st2_drop_duplicate_objects", "SELECT DISTINCT user_id, event_type FROM events")

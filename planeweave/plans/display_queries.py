@@ -200,7 +200,10 @@ def p9r(spark, sf):
     return out.join(full, ["stack_id", "y", "x"], "left_semi").select("stack_id", "y", "x", rnd(F.get("data", 0)).alias("value"))
 
 
-@query("p10_layer_tree")
+@query("p10_layer_tree", f"""WITH {_L3},
+s AS (SELECT *, CASE WHEN b IS NULL THEN NULL WHEN c IS NULL THEN b ELSE 0.5 * b + 0.5 * b * c END AS g FROM v3)
+SELECT stack_id, y, x, {rd("CASE WHEN g IS NULL THEN a WHEN a IS NULL THEN g ELSE 0.5 * a + 0.5 * (1 - (1 - a) * (1 - g)) END")} AS value,
+       {rd("CASE WHEN a IS NULL THEN 0.5::DOUBLE ELSE 1 END")} AS alpha FROM s WHERE a IS NOT NULL OR b IS NOT NULL""")
 def p10(spark, sf):
     """The top two layers form a clipped pair inside a half-opaque group above the base."""
     layers, pixels, canvas = _stack(spark, sf, ("normal", "normal", "multiply"))

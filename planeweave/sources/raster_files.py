@@ -43,7 +43,7 @@ def _npy(raw: bytes):
     if a.ndim not in (2, 3):
         raise ValueError(f"unsupported number of dimensions {a.ndim}")
     a = a[..., None] if a.ndim == 2 else a
-    return (a if a.shape[2] in (1, 3, 4) else a[..., :1]), _facts(a.dtype), a.shape[2]
+    return a, _facts(a.dtype), a.shape[2]
 
 
 def _pfm(raw: bytes):
