@@ -1,4 +1,5 @@
-"""Mixing sources to target weights: proportional word targets per shard, taken block by block in seeded order."""
+"""Mixing sources to target weights: blocks of words apportioned to sources by Sainte-Lague's highest
+quotients in every shard, then taken whole in seeded order."""
 
 from __future__ import annotations
 
@@ -13,10 +14,10 @@ from planeweave.llm.common import WORD, fixed_hash, stored, whole
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST = 2.0
-BLOCK = 1024
+BLOCK = 128
 SHARD = 1 << 20
-SEED = "mix-1"
-CELL = ["source", "_shard"]
+SEED = "mix-2"
+CELL = ["_src", "_part"]
 _WORDS = re.compile(WORD)
 
 
@@ -46,33 +47,61 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float
         F.least(F.col("_at") * F.col("_w"), F.col("_cap")), F.col("_cap")).cast("double").alias("target"))
 
 
+def _block_count(words: str, block: int) -> str:
+    """SQL for the number of blocks of a line of words: equal ones, as near to ``block`` words as may be."""
+    return f"greatest(1, (2 * {words} + {block}) div {2 * block})"
+
+
+def seats(cells: DataFrame, block: int = BLOCK) -> DataFrame:
+    """``(_src, _part, seats)`` of cells ``(_shard, _src, _part, words, votes)``: the blocks that each may give.
+
+    A shard has as many seats as its cells' votes (words to give) make blocks, rounded. A cell's k-th seat has
+    the quotient votes / (2k - 1); the highest quotients of the shard win, ties go by source and part. A cell
+    has two quotients for each of its blocks, since each may be taken twice. A shard's quotients number about
+    two for every ``block`` of its words, so a window over one is bounded by the size of a shard.
+    """
+    turns = F.expr(_block_count("words", block)).cast("int") * 2
+    q = cells.where("words > 0").withColumn("_k", F.explode(F.sequence(F.lit(1), turns)))
+    q = q.withColumn("_q", F.col("votes") / (2 * F.col("_k") - 1).cast("double"))
+    size = cells.groupBy("_shard").agg(F.round(F.sum(F.round("votes").cast("long")) / F.lit(float(block))).cast("long").alias("_all"))
+    best = Window.partitionBy("_shard").orderBy(F.col("_q").desc(), "_src", "_part", "_k")
+    q = q.withColumn("_place", F.row_number().over(best)).join(size, "_shard")
+    return q.where("_place <= _all").groupBy(*CELL).agg(F.count(F.lit(1)).alias("seats"))
+
+
 def _taken(sizes: DataFrame, weights, share: float, most: float, block: int, shard: int, seed: str) -> DataFrame:
     """The pieces of documents that each block holds, with the words taken of them in the first and second pass.
 
     ``sizes`` has doc_id, source, size and _key, which tells rows of equal id apart.
     """
     goal = targets(sizes, weights, share, most)
+    total = goal.agg(F.sum("source_size")).first()[0] or 0
+    shards = max(1, -(-int(total) // shard))
     goal = (F.broadcast(goal) if _few(goal) else goal).alias("g")
     rows = sizes.alias("d").join(goal, F.col("d.source").eqNullSafe(F.col("g.source")))
     rows = rows.select("doc_id", F.col("d.source").alias("source"), "size", "_key", "source_size", "target")
-    shards = F.ceil(F.greatest(F.col("source_size"), F.lit(1)) / F.lit(shard))
-    rows = rows.withColumn("_draw", fixed_hash(F.lit(seed), "doc_id")).withColumn("_shard", F.pmod(F.col("_draw"), shards))
-    rows = rows.repartition("source", "_shard")
+    parts = F.ceil(F.greatest(F.col("source_size"), F.lit(1)) / F.lit(shard))
+    rows = rows.withColumn("_draw", fixed_hash(F.lit(seed), "doc_id")).withColumns({
+        "_part": F.pmod(F.col("_draw"), parts), "_src": F.coalesce(F.concat(F.lit("0"), F.col("source")), F.lit("1"))})
+    cells = rows.groupBy(*CELL, "source", "source_size", "target").agg(F.sum("size").alias("words")).select(
+        *CELL, "words", F.pmod(fixed_hash(F.lit(seed), "source") + F.col("_part"), F.lit(shards)).alias("_shard"),
+        (F.col("target") * F.col("words") / F.greatest(F.col("source_size"), F.lit(1)).cast("double")).alias("votes"))
+    rows = rows.join(seats(cells, block), CELL, "left")
     line = Window.partitionBy(*CELL).orderBy("_draw", "doc_id", "size", "_key")
     rows = rows.withColumn("_row", F.row_number().over(line)).withColumn(
         "_end", F.sum("size").over(line.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    rows = rows.withColumn("_words", F.sum("size").over(Window.partitionBy(*CELL)))
-    # Whole words a shard is to give.
-    rows = rows.withColumn("_t", F.round(F.col("target") * F.col("_words") / F.greatest(F.col("source_size"), F.lit(1))).cast("long"))
-    first, last = F.expr(f"(_end - size) div {block}"), F.expr(f"greatest(_end - 1, _end - size) div {block}")
-    rows = rows.withColumn("_start", F.col("_end") - F.col("size")).withColumn("_block", F.explode(F.sequence(first, last)))
-    low = F.greatest(F.col("_start"), F.col("_block") * F.lit(block))
-    high = F.least(F.col("_end"), (F.col("_block") + 1) * F.lit(block))
-    rows = rows.withColumns({"_from": low - F.col("_start"), "_n": high - low, "_turn": fixed_hash(F.lit(seed), F.col("source"), F.col("_shard"), F.col("_block"))})
-    turn = Window.partitionBy(*CELL).orderBy("_turn", "_block", "_row").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum("_n").over(turn), F.lit(0))
-    given = lambda passed: F.greatest(F.lit(0), F.least(F.col("_n"), F.col("_t") - passed - before)).cast("long")
-    return rows.withColumns({"_once": given(F.lit(0)), "_twice": given(F.col("_words"))})
+    rows = rows.withColumn("_words", F.sum("size").over(Window.partitionBy(*CELL))).withColumn("_blocks", F.expr(_block_count("_words", block)))
+    # Word w of the line stands in block w * blocks div words; an empty document at its end stands past the last.
+    rows = rows.withColumn("_start", F.col("_end") - F.col("size")).withColumn("_block", F.explode(F.expr(
+        "sequence(_start * _blocks div greatest(_words, 1), greatest(_end - 1, _start) * _blocks div greatest(_words, 1))")))
+    low = F.expr("greatest(_start, (_block * _words + _blocks - 1) div _blocks)")
+    high = F.expr("least(_end, ((_block + 1) * _words + _blocks - 1) div _blocks)")
+    rows = rows.withColumns({"_from": low - F.col("_start"), "_n": high - low, "_turn": fixed_hash(F.lit(seed), F.col("source"), F.col("_part"), F.col("_block"))})
+    place = F.dense_rank().over(Window.partitionBy(*CELL).orderBy(F.col("_block") >= F.col("_blocks"), "_turn", "_block"))
+    rows = rows.withColumn("_place", place)
+    won = F.coalesce("seats", F.lit(0))
+    given = lambda needed: F.when(won >= needed, F.col("_n")).otherwise(0).cast("long")
+    return rows.withColumns({"_once": given(F.col("_place")), "_twice": given(F.col("_place") + F.col("_blocks"))})
 
 
 def _sizes(docs: DataFrame, key) -> DataFrame:
@@ -83,11 +112,14 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MO
         shard: int = SHARD, seed: str = SEED) -> DataFrame:
     """``doc_id, size, source_size, target, taken`` for every row of ``docs`` (doc_id, text, source).
 
-    A source is split by a seeded hash of its documents into shards of about ``shard`` words,
-    so no source, however large, is one group. A shard's documents, in seeded order, form a
-    line of words cut into equal blocks. A shard gives its proportional part of the source's
-    target, rounded to whole words: blocks are taken in seeded order, a second time where that
-    exceeds the line, and the last one is cut off inside. No seats are apportioned.
+    A source is split by a seeded hash of its documents into parts of about ``shard`` words, so no source,
+    however large, is one group; a shard holds a part of each large source and the whole of some small ones.
+    A part's documents, in seeded order, form a line of words cut into equal blocks of about ``block`` words. In each
+    shard the highest quotients of Sainte-Lague win the parts' seats (:func:`seats`), and a part gives as many
+    whole blocks as it has seats, in seeded order, a second time once all are given.
+
+    A source comes within about half a block for each of its parts to its target; one whose target is below
+    half a block may give nothing.
 
     Null text counts as empty and takes 0; a null source is a source, last in order; repeated
     rows each have their own words on the line. Without words all targets are 0.
@@ -160,17 +192,23 @@ s2 AS (SELECT *, ((SELECT sum(source_size) FROM s1) * 1.5::DOUBLE - coalesce(sum
 g AS (SELECT source, source_size, CAST(coalesce(least((SELECT arg_min(level, cap / w) FROM s2 WHERE level * w < cap) * w, cap), cap) AS DOUBLE) AS target FROM s2),
 r0 AS (SELECT d.doc_id, d.source, d.size, g.source_size, g.target, {_md5_sql(f"'{SEED}'", 'd.doc_id')} AS draw
        FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source),
-r1 AS (SELECT *, draw % CAST(ceil(greatest(source_size, 1) / {SHARD}::DOUBLE) AS BIGINT) AS shard FROM r0),
+r1 AS (SELECT *, draw % CAST(ceil(greatest(source_size, 1) / {SHARD}::DOUBLE) AS BIGINT) AS part, coalesce('0' || source, '1') AS src FROM r0),
+c0 AS (SELECT src, part, any_value(source) AS source, sum(size)::BIGINT AS words, any_value(target) * sum(size)::BIGINT / CAST(greatest(any_value(source_size), 1) AS DOUBLE) AS votes FROM r1 GROUP BY src, part),
+c1 AS (SELECT *, ({_md5_sql(f"'{SEED}'", 'source')} + part) % greatest(1, CAST(ceil((SELECT sum(source_size) FROM g) / {SHARD}::DOUBLE) AS BIGINT)) AS shard FROM c0),
+c2 AS (SELECT *, unnest(range(1, 2 * greatest(1, (2 * words + {BLOCK}) // {2 * BLOCK}) + 1)) AS k FROM c1 WHERE words > 0),
+c3 AS (SELECT c2.*, row_number() OVER (PARTITION BY c2.shard ORDER BY votes / CAST(2 * k - 1 AS DOUBLE) DESC, src, part, k) AS place, seats_all
+       FROM c2 JOIN (SELECT shard, CAST(round(sum(CAST(round(votes) AS BIGINT)) / {BLOCK}::DOUBLE) AS BIGINT) AS seats_all FROM c1 GROUP BY shard) USING (shard)),
+st AS (SELECT src, part, count(*) AS seats FROM c3 WHERE place <= seats_all GROUP BY src, part),
 r2 AS (SELECT *, row_number() OVER l AS rn, sum(size) OVER (l ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS e,
-              sum(size) OVER (PARTITION BY source, shard) AS words
-       FROM r1 WINDOW l AS (PARTITION BY source, shard ORDER BY draw, doc_id NULLS FIRST, size)),
-r3 AS (SELECT *, CAST(round(target * words / greatest(source_size, 1)) AS BIGINT) AS t FROM r2),
-b AS (SELECT *, CAST(unnest(range(CAST((e - size) // {BLOCK} AS BIGINT), CAST(greatest(e - 1, e - size) // {BLOCK} + 1 AS BIGINT))) AS BIGINT) AS block FROM r3),
-p AS (SELECT *, least(e, (block + 1) * {BLOCK}) - greatest(e - size, block * {BLOCK}) AS n, {_md5_sql(f"'{SEED}'", 'source', 'shard', 'block')} AS turn FROM b),
-q AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY source, shard ORDER BY turn, block, rn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM p)
+              CAST(sum(size) OVER (PARTITION BY src, part) AS BIGINT) AS words
+       FROM r1 WINDOW l AS (PARTITION BY src, part ORDER BY draw, doc_id NULLS FIRST, size)),
+r3 AS (SELECT *, CAST(e AS BIGINT) AS en, CAST(e AS BIGINT) - size AS sn, greatest(1, (2 * words + {BLOCK}) // {2 * BLOCK}) AS blocks FROM r2),
+b AS (SELECT *, unnest(range(sn * blocks // greatest(words, 1), greatest(en - 1, sn) * blocks // greatest(words, 1) + 1)) AS block FROM r3),
+p AS (SELECT *, least(en, ((block + 1) * words + blocks - 1) // blocks) - greatest(sn, (block * words + blocks - 1) // blocks) AS n, {_md5_sql(f"'{SEED}'", 'source', 'part', 'block')} AS turn FROM b),
+q AS (SELECT *, dense_rank() OVER (PARTITION BY src, part ORDER BY block >= blocks, turn, block) AS place FROM p)
 SELECT doc_id, size, source_size, target,
-       CAST(sum(greatest(0, least(n, t - before)) + greatest(0, least(n, t - words - before))) AS BIGINT) AS taken
-FROM q GROUP BY source, shard, rn, doc_id, size, source_size, target"""
+       CAST(sum(n * (CASE WHEN seats >= place THEN 1 ELSE 0 END + CASE WHEN seats >= place + blocks THEN 1 ELSE 0 END)) AS BIGINT) AS taken
+FROM q LEFT JOIN st USING (src, part) GROUP BY src, part, rn, doc_id, size, source_size, target"""
 
 
 SQL = sql()

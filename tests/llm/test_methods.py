@@ -7,6 +7,7 @@ from itertools import count
 import numpy as np
 import pytest
 from hypothesis import given, settings, strategies as st
+from pyspark.sql import functions as F
 
 from planeweave.llm import jaccard, langid, linededup, mixing, packing, pagetext, spotsigs, toxicity
 
@@ -79,12 +80,36 @@ def test_shards_and_targets_of_the_mix(spark):
     assert (abs(taken - target) < 0.01 * target + 60).all() and (got.taken <= 2 * got["size"]).all()
 
 
-def test_seats_are_those_of_highest_quotients():
-    dice, block = random.Random(3), 100
-    votes = [dice.randrange(1, 5000) for _ in range(40)]
-    seats = [int(v / block + 0.5) for v in votes]
-    won = sorted(((v / (k + 0.5), i) for i, v in enumerate(votes) for k in range(200)), reverse=True)[:sum(seats)]
-    assert seats == [sum(i == j for _, j in won) for i in range(40)]
+def test_seats_are_those_of_highest_quotients(spark):
+    """Against handing out one seat after the other."""
+    dice, block = random.Random(3), 10
+    cells = []
+    for shard in range(6):
+        for src in range(dice.randrange(1, 9)):
+            words = dice.choice([0, 3, 10, 95, 400])
+            cells.append((shard, f"s{src}", shard, words, words * dice.choice([0.0, 0.5, 1.25, 2.0])))
+    got = {(r._src, r._part): r.seats for r in mixing.seats(spark.createDataFrame(cells, "_shard int, _src string, _part int, words long, votes double"), block).collect()}
+    for shard in range(6):
+        own = {c[1]: c for c in cells if c[0] == shard}
+        won = dict.fromkeys(own, 0)
+        for _ in range(int(sum(int(c[4] + 0.5) for c in own.values()) / block + 0.5)):
+            open_ = [s for s in own if won[s] < (2 * max(1, (2 * own[s][3] + block) // (2 * block)) if own[s][3] else 0)]
+            best = min(open_, key=lambda s: (-own[s][4] / (2 * won[s] + 1), s))
+            won[best] += 1
+        assert {s: got.get((s, shard), 0) for s in own} == won
+
+
+def test_what_is_taken_follows_the_seats(spark):
+    """Every part gives whole blocks, as many as its seats, and none a third time."""
+    rows = [(i, prose(i, 5 + i % 40), f"s{i % 3}") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    pieces = mixing._taken(mixing._sizes(docs, F.lit(0).cast("long")), mixing.WEIGHTS, 1.5, 2.0, 16, 700, "x").toPandas()
+    per_block = pieces.groupby(["_src", "_part", "_block"])[["_n", "_once", "_twice"]].sum().reset_index()
+    assert ((per_block._once == 0) | (per_block._once == per_block._n)).all() and ((per_block._twice == 0) | (per_block._twice == per_block._n)).all()
+    for (src, part), b in per_block[per_block._n > 0].groupby(["_src", "_part"]):
+        mine = pieces[(pieces._src == src) & (pieces._part == part)]
+        given = (b._once > 0).sum() + (b._twice > 0).sum()
+        assert given == mine.seats.fillna(0).iloc[0] and ((b._twice > 0) <= (b._once > 0)).all()
 
 
 @settings(max_examples=80, deadline=None)
