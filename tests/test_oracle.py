@@ -11,6 +11,9 @@ import __spark_entry__ as entry_mod
 from check_oracle import TABLES, compare
 
 SF = "/root/testdata/sf0.001"
+#: Queries that SQL does not express here; tests/test_planted.py holds them to brute force or planted shapes.
+WITHOUT_SQL = {"t2_isodata", "t3_li", "t11_shanbhag", "t12_minimum", "t13_intermodes", "g3_split_by_shape", "g4_split_by_intensity", "g5_count_maxima",
+               "j8_mask_contours", "p12_colour_adjustments"}
 ROOT = os.path.dirname(os.path.abspath(entry_mod.__file__))
 
 
@@ -25,7 +28,7 @@ def con():
 @pytest.mark.parametrize("name", sorted(entry_mod.plans.registry.QUERIES))
 def test_query(spark, con, name):
     message, _, _ = compare(spark, con, name, SF)
-    assert message.startswith(("ok", "rows-only")), message
+    assert message.startswith("rows-only" if name in WITHOUT_SQL else "ok"), message
 
 
 def test_entry(spark):
