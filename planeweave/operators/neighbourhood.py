@@ -19,6 +19,7 @@ from planeweave.functions.numeric import INF, f32, finite, nan, only_finite
 from planeweave.operators import thresholds as T
 from planeweave.operators.stats import floor_bin
 from planeweave.schema import PIXEL, PLANE
+from planeweave.session import cut_lineage
 
 AXES = (("y", "x"), ("x", "y"))  # (line key, position on the line): row pass, column pass
 
@@ -178,49 +179,85 @@ def local_threshold(plane: DataFrame, method: str, radius: float, k: float = 0.2
     return p.where(finite("value") & (F.col("value") <= cut)).select(*PIXEL)
 
 
-def to_halo_tiles(samples: DataFrame, tile: int, halo: int) -> DataFrame:
-    """Key every sample by the tiles that need it: its own and those whose halo reaches it."""
-    def keys(c: str) -> Column:
-        p = F.col(c)
-        lo = F.greatest(F.floor((p - halo) / tile), F.lit(0).cast("long"))
-        return F.sequence(lo, F.floor((p + halo) / tile))
-
-    return samples.withColumn("ty", F.explode(keys("y"))).withColumn("tx", F.explode(keys("x")))
-
-
 def local_median(plane: DataFrame, radius: float, offset: float = 0.0, dark_background: bool = True,
                  tile: int = 64) -> DataFrame:
-    """Mask pixels at or below the local median of 64 bins, computed on halo tiles.
+    """Mask pixels at or below the local median of 64 bins.
 
-    The median bin is the lower median of the window's bins. Tiles beyond the last plane
-    line hold halo samples only and yield nothing.
+    The median bin is the lower median of the window's bins. Samples are packed to tiles of a byte per
+    pixel; a tile gets those around it, never smaller than the radius, so that eight are enough.
+    Inside, a histogram per column slides down a line at a time and window counts are differences of
+    running sums along the line: a sample costs the same whatever the radius.
     """
     rad = _radius(radius)
+    tile = max(tile, rad)
     p = _reflected(plane, dark_background).where("hi > lo")
     # Reflection maps the range onto itself, up to single precision; bins use the new range.
     p = p.drop("lo", "hi").join(_ranges(p.drop("lo", "hi")), PLANE).where("hi > lo")
-    p = p.where(finite("value")).withColumn("bin", floor_bin(F.col("value"), F.col("lo"), F.col("hi"), 64))
-    tiles = to_halo_tiles(p.select(*PIXEL, "value", "lo", "hi", "bin"), tile, rad)
+    p = p.where(finite("value")).withColumn("bin", floor_bin(F.col("value"), F.col("lo"), F.col("hi"), MEDIAN_BINS))
+    p = p.select(*PIXEL, "value", "lo", "hi", "bin", F.expr(f"cast(y div {tile} as int)").alias("ty"), F.expr(f"cast(x div {tile} as int)").alias("tx"))
+
+    def pack(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        ty, tx = int(key[2]), int(key[3])
+        y, x = pdf.y.to_numpy() - ty * tile, pdf.x.to_numpy() - tx * tile
+        bins = np.full((tile, tile), NO_BIN, np.uint8)
+        bins[y, x] = pdf.bin.to_numpy()
+        order = np.argsort(y * tile + x, kind="stable")
+        return pd.DataFrame([(key[0], key[1], ty, tx, float(pdf.lo.iloc[0]), float(pdf.hi.iloc[0]), bins.tobytes(), pdf.value.to_numpy(float)[order].tobytes())],
+                            columns=["image_id", "page", "ty", "tx", "lo", "hi", "bins", "values"])
+
+    packed = p.groupBy(*PLANE, "ty", "tx").applyInPandas(pack, "image_id string, page int, ty int, tx int, lo double, hi double, bins binary, values binary")
+    steps = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy in (-1, 0, 1) for dx in (-1, 0, 1)])
+    sent = cut_lineage(packed).withColumn("s", F.explode(steps))
+    own = (F.col("s.dy") == 0) & (F.col("s.dx") == 0)
+    sent = sent.select(*PLANE, (F.col("ty") + F.col("s.dy")).alias("ty"), (F.col("tx") + F.col("s.dx")).alias("tx"), F.col("s.dy").alias("dy"), F.col("s.dx").alias("dx"),
+                       "lo", "hi", "bins", F.when(own, F.col("values")).alias("values"))
 
     def kernel(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         ty, tx = int(key[2]), int(key[3])
-        side = tile + 2 * rad
-        grid = np.full((side, side), 255, dtype=np.uint8)  # 255 = no sample
-        yy, xx = pdf.y.to_numpy() - ty * tile + rad, pdf.x.to_numpy() - tx * tile + rad
-        grid[yy, xx] = pdf.bin.to_numpy()
-        inner = (yy >= rad) & (yy < rad + tile) & (xx >= rad) & (xx < rad + tile)
-        own = pdf[inner]
-        if own.empty:
-            return pd.DataFrame({c: own[c] for c in PIXEL})
-        windows = np.lib.stride_tricks.sliding_window_view(grid, (2 * rad + 1, 2 * rad + 1))
-        picked = np.sort(windows[yy[inner] - rad, xx[inner] - rad].reshape(len(own), -1), axis=1)
-        count = (picked < 255).sum(axis=1)
-        median_bin = picked[np.arange(len(own)), (count + 1) // 2 - 1]
-        lo, hi = own.lo.to_numpy(), own.hi.to_numpy()
-        median = lo + (median_bin + 0.5) / (64.0 / (hi - lo))
-        return own.loc[own.value.to_numpy() <= median - offset, PIXEL]
-
-    return tiles.groupBy(*PLANE, "ty", "tx").applyInPandas(kernel, "image_id string, page int, y int, x int")
+        at_home = pdf[pdf["values"].notna()]
+        if at_home.empty:  # a neighbour beyond the plane's samples
+            return pd.DataFrame({"image_id": pd.Series([], dtype=str), "page": pd.Series([], dtype="int32"), "y": pd.Series([], dtype="int32"), "x": pd.Series([], dtype="int32")})
+        grid = np.full((3 * tile, 3 * tile), NO_BIN, np.uint8)
+        for dy, dx, bins in zip(pdf.dy, pdf.dx, pdf.bins):
+            grid[(1 - dy) * tile:(2 - dy) * tile, (1 - dx) * tile:(2 - dx) * tile] = np.frombuffer(bins, np.uint8).reshape(tile, tile)
+        median_bin = _window_medians(grid[tile - rad:2 * tile + rad, tile - rad:2 * tile + rad], rad)
+        inner = grid[tile:2 * tile, tile:2 * tile]
+        y, x = np.nonzero(inner != NO_BIN)
+        lo, hi = float(at_home.lo.iloc[0]), float(at_home.hi.iloc[0])
+        median = lo + (median_bin[y, x] + 0.5) / (MEDIAN_BINS / (hi - lo))
+        keep = np.frombuffer(at_home["values"].iloc[0], float) <= median - offset
+        return pd.DataFrame({"image_id": key[0], "page": key[1], "y": (y + ty * tile)[keep].astype(np.int32), "x": (x + tx * tile)[keep].astype(np.int32)})
+
+    return sent.groupBy(*PLANE, "ty", "tx").applyInPandas(kernel, "image_id string, page int, y int, x int")
+
+
+#: Bins of the local median, and the mark of a pixel without a sample.
+MEDIAN_BINS = 64
+NO_BIN = 255
+
+
+def _window_medians(grid: np.ndarray, rad: int) -> np.ndarray:
+    """Lower median bin of the square window around each pixel at least ``rad`` from the grid's sides; any value where it is empty."""
+    side = 2 * rad + 1
+    rows, width = grid.shape[0] - 2 * rad, grid.shape[1]
+    column = np.arange(width)
+    counts = np.zeros((MEDIAN_BINS, width), np.int32)
+
+    def add(line: np.ndarray, sign: int) -> None:
+        on = line != NO_BIN
+        counts[line[on], column[on]] += sign  # a column occurs once in a line
+
+    for line in grid[:side - 1]:
+        add(line, 1)
+    out = np.zeros((rows, width - 2 * rad), np.uint8)
+    for r in range(rows):
+        add(grid[r + side - 1], 1)
+        run = np.zeros((MEDIAN_BINS, width + 1), np.int64)
+        np.cumsum(counts, axis=1, out=run[:, 1:])
+        upto = np.cumsum(run[:, side:] - run[:, :-side], axis=0)
+        out[r] = np.argmax(upto >= (upto[-1] + 1) // 2, axis=0)
+        add(grid[r], -1)
+    return out
 
 
 def local_auto_threshold(plane: DataFrame, planes: DataFrame, method: str, radius: float,

@@ -95,7 +95,7 @@ SELECT image_id, page, label, y, x FROM l
 UNION ALL SELECT bg.image_id, bg.page, bg.label, bg.y, bg.x FROM bg WHERE NOT EXISTS
   (SELECT 1 FROM outside o WHERE o.image_id = bg.image_id AND o.page = bg.page AND o.label = bg.label AND o.y = bg.y AND o.x = bg.x)""")
 def g2(spark, sf):
-    return O.fill_holes(G.label_components(_mask(spark, sf, 0.0), 8), tile=32)
+    return O.fill_holes(G.label_components(_mask(spark, sf, 0.0), 8))
 
 
 @query("g3_split_by_shape")

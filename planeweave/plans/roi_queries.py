@@ -223,7 +223,11 @@ def j12(spark, sf):
     return J.hit_test(_points(spark, sf), views.roi_table(spark, sf), 3.0).withColumn("distance", rnd("distance"))
 
 
-@query("j12_nearest_roi", f"""WITH {_HIT}, r AS (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY round(distance, 9), roi_id) AS rk FROM ht WHERE distance <= 3)
+@query("j12_nearest_roi", f"""WITH {ROIS}, {outline_sql(96)}, {_PTS},
+ee AS (SELECT point_id, px, py, ax, ay, bx, by2, e.roi_id, CASE WHEN (bx - ax) ** 2 + (by2 - ay) ** 2 = 0 THEN 0 ELSE greatest(0, least(1, ((px - ax) * (bx - ax) + (py - ay) * (by2 - ay)) / ((bx - ax) ** 2 + (by2 - ay) ** 2))) END AS t
+  FROM pts JOIN ed e USING (image_id, page) WHERE e.kind IN ('rect', 'ellipse', 'polygon') OR e.i < e.n - 1),
+ds AS (SELECT point_id, roi_id, min(sqrt((ax + t * (bx - ax) - px) ** 2 + (ay + t * (by2 - ay) - py) ** 2)) AS distance FROM ee GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY round(distance, 9), roi_id) AS rk FROM ds)
 SELECT pts.point_id, pts.image_id, pts.page, r.roi_id, {rd("r.distance")} AS distance FROM pts LEFT JOIN r ON r.point_id = pts.point_id AND rk = 1""")
 def j12n(spark, sf):
-    return J.nearest_roi(_points(spark, sf), views.roi_table(spark, sf), 3.0).withColumn("distance", rnd("distance"))
+    return J.nearest_roi(_points(spark, sf), views.roi_table(spark, sf)).withColumn("distance", rnd("distance"))
