@@ -19,7 +19,6 @@ from planeweave.functions.numeric import INF, f32, finite, nan, only_finite
 from planeweave.operators import thresholds as T
 from planeweave.operators.stats import floor_bin
 from planeweave.schema import PIXEL, PLANE
-from planeweave.session import cut_lineage
 
 AXES = (("y", "x"), ("x", "y"))  # (line key, position on the line): row pass, column pass
 
@@ -207,7 +206,7 @@ def local_median(plane: DataFrame, radius: float, offset: float = 0.0, dark_back
 
     packed = p.groupBy(*PLANE, "ty", "tx").applyInPandas(pack, "image_id string, page int, ty int, tx int, lo double, hi double, bins binary, values binary")
     steps = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy in (-1, 0, 1) for dx in (-1, 0, 1)])
-    sent = cut_lineage(packed).withColumn("s", F.explode(steps))
+    sent = packed.withColumn("s", F.explode(steps))
     own = (F.col("s.dy") == 0) & (F.col("s.dx") == 0)
     sent = sent.select(*PLANE, (F.col("ty") + F.col("s.dy")).alias("ty"), (F.col("tx") + F.col("s.dx")).alias("tx"), F.col("s.dy").alias("dy"), F.col("s.dx").alias("dx"),
                        "lo", "hi", "bins", F.when(own, F.col("values")).alias("values"))
