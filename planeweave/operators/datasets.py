@@ -3,7 +3,12 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,30 +18,82 @@ from planeweave.schema import PLANE
 from planeweave.session import cut_lineage
 
 
-def dense_rank_by_value(rows: DataFrame, keys: list[str], value: str, name: str, parts: int = 64, direct: int = 100_000) -> DataFrame:
-    """``(keys, value, name)`` with the 0-based rank of each distinct value per key.
+def ranked(rows: DataFrame, group: list[str], value: list[str], name: str, tie: list[str] | None = None) -> DataFrame:
+    """``rows`` with ``name``, the 0-based dense rank of ``value`` within ``group``, by one range shuffle.
 
-    Keys of up to ``direct`` distinct values are ranked by one window. Values of larger keys
-    fall into parts along sketched quantiles; ranks are counted inside a part and shifted by
-    the parts before it, so no task orders a whole large key.
+    Rows are range-partitioned and sorted on group, value and ``tie`` (which may split equal values),
+    numbered as they stream by and written once; a group that goes on in a later partition is shifted
+    there by what the earlier ones counted. So no task sees more than its partition, whatever a group's
+    size. Two rows of each partition reach the driver. NULL is a value and comes first.
     """
-    d = rows.select(*keys, value).distinct()
-    sizes = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("_d"))
-    if sizes.where(F.col("_d") > direct).isEmpty():
-        return d.select(*keys, value, (F.row_number().over(Window.partitionBy(*keys).orderBy(value)) - 1).cast("int").alias(name))
-    d = d.join(sizes, keys)
-    small = d.where(F.col("_d") <= direct).select(*keys, value, (F.row_number().over(
-        Window.partitionBy(*keys).orderBy(value)) - 1).cast("int").alias(name))
-    big = d.where(F.col("_d") > direct)
-    cuts = big.groupBy(*keys).agg(F.percentile_approx(value, [i / parts for i in range(1, parts)], 1000).alias("_cuts"))
-    big = big.join(cuts, keys).withColumn("_part", F.size(F.filter("_cuts", lambda c: c <= F.col(value)))).drop("_cuts")
-    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    shift = big.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_n")).select(
-        *keys, "_part", F.coalesce(F.sum("_n").over(before), F.lit(0).cast("long")).alias("_shift"))
-    inner = F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(value)) - 1
-    ranked = big.withColumn("_r", inner).join(shift, [*keys, "_part"]).select(
-        *keys, value, (F.col("_r") + F.col("_shift")).cast("int").alias(name))
-    return small.unionByName(ranked)
+    order = [*group, *value, *(tie or [])]
+    names = rows.columns
+    extra = "_part int, _rank long, _opening boolean, _edge int"
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        before, counted, base, groups = None, 0, 0, 0
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            new_group = _changes(batch, before, group)
+            new_value = new_group | _changes(batch, before, value)
+            counts = counted + np.cumsum(new_value)
+            # The count at the start of a row's group: the last start so far.
+            bases = np.maximum.accumulate(np.where(new_group, counts, base))
+            opening = groups + np.cumsum(new_group) == 1
+            edge = np.zeros(batch.num_rows, np.int32)
+            edge[0] = FIRST if before is None else 0
+            if held is not None:
+                yield pa.RecordBatch.from_arrays(held, [*names, "_part", "_rank", "_opening", "_edge"])
+            held = [*batch.columns, pa.array(np.full(batch.num_rows, part, np.int32)), pa.array(counts - bases), pa.array(opening), pa.array(edge)]
+            before, counted, base, groups = batch.slice(batch.num_rows - 1), int(counts[-1]), int(bases[-1]), groups + int(new_group.sum())
+        if held is not None:
+            edge = held[-1].to_numpy().copy()
+            edge[-1] += LAST
+            yield pa.RecordBatch.from_arrays([*held[:-1], pa.array(edge)], [*names, "_part", "_rank", "_opening", "_edge"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    numbered = cut_lineage(rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(number, f"{schema}, {extra}"))
+    edges: dict[int, dict[int, tuple]] = {}
+    for r in numbered.where("_edge > 0").select("_part", "_edge", "_rank", "_opening", *order).collect():  # two rows a partition
+        at = ([_plain(r[c]) for c in group], [_plain(r[c]) for c in value], r["_rank"], r["_opening"])
+        for bit in (FIRST, LAST):
+            if r["_edge"] & bit:
+                edges.setdefault(r["_part"], {})[bit] = at
+    shifts, end = [], None
+    for part in sorted(edges):
+        (g, v, _, _), last = edges[part][FIRST], edges[part][LAST]
+        shift = 0 if end is None or end[0] != g else end[2] + (end[1] != v)
+        shifts.append((part, shift))
+        end = (last[0], last[1], last[2] + (shift if last[3] else 0))
+    by_part = rows.sparkSession.createDataFrame(shifts, "_part int, _shift long")  # a row per partition
+    shift = F.when(F.col("_opening"), F.coalesce("_shift", F.lit(0).cast("long"))).otherwise(F.lit(0).cast("long"))
+    return numbered.join(F.broadcast(by_part), "_part", "left").select(*names, (F.col("_rank") + shift).cast("int").alias(name))
+
+
+#: Marks of a partition's first and last row.
+FIRST, LAST = 1, 2
+
+
+def _plain(v):
+    return "NaN" if isinstance(v, float) and v != v else v
+
+
+def _changes(batch: pa.RecordBatch, before: pa.RecordBatch | None, columns: list[str]) -> np.ndarray:
+    """For each row whether it differs from the row before it in one of the columns; the first of all does."""
+    out = np.zeros(batch.num_rows, bool)
+    for c in columns:
+        now = batch.column(c)
+        was = pa.concat_arrays([before.column(c) if before is not None else pa.nulls(1, now.type), now.slice(0, len(now) - 1)])
+        differs = pc.fill_null(pc.not_equal(now, was), False).to_numpy(zero_copy_only=False)
+        if pa.types.is_floating(now.type):
+            differs &= ~pc.fill_null(pc.and_(pc.is_nan(now), pc.is_nan(was)), False).to_numpy(zero_copy_only=False)
+        out |= differs | (now.is_null().to_numpy(zero_copy_only=False) != was.is_null().to_numpy(zero_copy_only=False))
+    if before is None:
+        out[0] = True
+    return out
 
 
 def slice_position(position: str = "position", orientation: str = "orientation") -> Column:
@@ -47,45 +104,62 @@ def slice_position(position: str = "position", orientation: str = "orientation")
                   p(0) * cross[0] + p(1) * cross[1] + p(2) * cross[2])
 
 
-def assemble_series(headers: DataFrame) -> DataFrame:
-    """Planes of image series from header rows: ``(group_id, path, frame_index, coordinates)``.
+def _series_images(headers: DataFrame) -> DataFrame:
+    """One row per image of the series: ``group_id, path, frames, t, echo, z, t_index, echo_index`` and
+    ``_t, _e, _f``, which tell whether its series has a time, echo and frame axis.
 
-    Copies of an object keep the first path in natural order. Slices rank by position
-    rounded to five decimals when every image has one, else by instance number within time
-    and echo, else over the whole series. Time and echo axes exist only with several values.
+    All axes are ranked in one shuffle: an image gives an entry for each axis that its series has.
     """
     text = lambda c: F.when(F.col(c) != "", F.col(c))
-    h = headers.where("has_pixels").select("*", F.coalesce(text("sop_uid"), F.col("path")).alias("_key"), natural_key("path").alias("_natural"))
-    first = F.min(F.struct("_natural", *["path", *[c for c in headers.columns if c != "path"]]))
-    h = h.groupBy("_key").agg(first.alias("h")).select("h.*").drop("_natural")
     angle = F.array_join(F.transform(F.slice("orientation", 1, 6), lambda v: F.format_string("%.4f", v)), "\\")
     identity = F.coalesce(text("series_uid"), F.concat(
         F.coalesce("study_uid", F.lit("")), F.lit("|series-"), F.coalesce(F.col("series_number").cast("string"), F.lit("?"))))
-    h = h.withColumn("group_id", F.concat_ws(
+    group_id = F.concat_ws(
         "|", identity, F.coalesce("frame_of_reference", F.lit("")),
         F.concat(F.coalesce("rows", F.lit(0)).cast("string"), F.lit("x"), F.coalesce("columns", F.lit(0)).cast("string")),
-        F.coalesce(angle, F.lit("unknown-orientation"))))
-    # The headers are read by several branches below: write the deduplicated rows once.
-    h = cut_lineage(h.withColumn("_pos", F.round(slice_position(), 5)))
+        F.coalesce(angle, F.lit("unknown-orientation")))
+    needed = ["series_uid", "study_uid", "series_number", "frame_of_reference", "rows", "columns", "orientation", "position", "t", "echo", "frames", "instance_number"]
+    h = headers.where("has_pixels").groupBy(F.coalesce(text("sop_uid"), F.col("path")).alias("_key")).agg(
+        F.min(F.struct(natural_key("path").alias("_natural"), "path", *needed)).alias("h")).select("_key", "h.*")
+    # Names are spelled out once for each image: several readers follow.
+    h = cut_lineage(h.select(
+        "_key", "path", group_id.alias("group_id"), F.round(slice_position(), 5).alias("_pos"), F.col("t").cast("double").alias("t"), F.col("echo").cast("double").alias("echo"),
+        F.greatest(F.col("frames"), F.lit(1)).cast("int").alias("frames"), F.col("instance_number").cast("long").alias("_number"), natural_key(base_name("path")).alias("_base")))
     several = lambda c: F.coalesce(F.min(c) < F.max(c), F.lit(False))
     g = h.groupBy("group_id").agg(
         (F.count("_pos") == F.count(F.lit(1))).alias("_all"), several("t").alias("_t"),
         several("echo").alias("_e"), (F.max("frames") > 1).alias("_f"))
     h = h.join(g, "group_id")
-    for axis, flag in (("t", "_t"), ("echo", "_e")):
-        used = h.where(F.col(flag) & F.col(axis).isNotNull())
-        h = h.join(dense_rank_by_value(used, ["group_id"], axis, f"{axis}_index"), ["group_id", axis], "left")
-    placed = h.where("_all").join(dense_rank_by_value(h.where("_all"), ["group_id"], "_pos", "z"), ["group_id", "_pos"])
-    # Without positions the order is by instance number, then name.
-    big = F.coalesce(F.col("instance_number").cast("long"), F.lit((1 << 53) - 1))
-    inner = Window.partitionBy("group_id", "t_index", "echo_index").orderBy(
-        big, F.when(F.col("instance_number").isNull(), natural_key(base_name("path"))))
-    outer = Window.partitionBy("group_id").orderBy(big, natural_key(base_name("path")), "path")
-    loose = h.where("not _all")
-    by_dim = loose.where("_t or _e").withColumn("z", F.dense_rank().over(inner) - 1)
-    by_all = loose.where("not _t and not _e").withColumn("z", F.row_number().over(outer) - 1)
-    out = placed.select(*h.columns, "z").unionByName(by_dim).unionByName(by_all)
-    out = out.withColumn("frame_index", F.explode(F.sequence(F.lit(0), F.greatest(F.col("frames"), F.lit(1)) - 1)))
+    null = F.lit(None)
+
+    def entry(axis: str, dim_t=null, dim_e=null, number=null, place=null, label=null, image=null) -> Column:
+        return F.struct(F.lit(axis).alias("axis"), dim_t.cast("double").alias("dim_t"), dim_e.cast("double").alias("dim_e"), number.cast("double").alias("v"),
+                        place.cast("long").alias("place"), label.cast("string").alias("label"), image.cast("string").alias("image"))
+
+    # Without positions the order is by instance number, then name; unnumbered images never share a slice.
+    place = F.coalesce("_number", F.lit((1 << 53) - 1))
+    base, image = F.col("_base"), F.concat_ws("\n", "path", "_key")
+    unnumbered = F.col("_number").isNull()
+    z = F.when(F.col("_all"), entry("z", number=F.col("_pos"))).when(
+        F.col("_t") | F.col("_e"), entry("z", F.when(F.col("_t"), F.col("t")), F.when(F.col("_e"), F.col("echo")), place=place,
+                                         label=F.when(unnumbered, base), image=F.when(unnumbered, image))).otherwise(entry("z", place=place, label=base, image=image))
+    entries = F.array(z, F.when(F.col("_t") & F.col("t").isNotNull(), entry("t", number=F.col("t"))),
+                      F.when(F.col("_e") & F.col("echo").isNotNull(), entry("echo", number=F.col("echo"))))
+    keep = ["_key", "path", "group_id", "frames", "t", "echo", "_t", "_e", "_f"]
+    e = h.select(*keep, F.explode(entries).alias("a")).where("a is not null").select(*keep, "a.*")
+    e = ranked(e, ["group_id", "axis", "dim_t", "dim_e"], ["v", "place", "label", "image"], "rank", ["path", "_key"])
+    at = lambda axis: F.max(F.when(F.col("axis") == axis, F.col("rank")))
+    return e.groupBy(*keep).agg(at("z").alias("z"), at("t").alias("t_index"), at("echo").alias("echo_index")).drop("_key")
+
+
+def assemble_series(headers: DataFrame) -> DataFrame:
+    """Planes of image series from header rows: ``(group_id, path, frame_index, coordinates)``.
+
+    Copies of an object keep the first path in natural order. Slices rank by position
+    rounded to five decimals when every image has one, else by instance number within time
+    and echo, else over the whole series. Time and echo axes exist only with several values.
+    """
+    out = _series_images(headers).withColumn("frame_index", F.explode(F.sequence(F.lit(0), F.col("frames") - 1)))
     entry = lambda k, v: F.struct(F.lit(k).alias("key"), v.cast("int").alias("value"))
     coords = F.filter(F.array(
         entry("z", F.col("z")), F.when(F.col("_t"), entry("t", F.col("t_index"))),
@@ -94,6 +168,28 @@ def assemble_series(headers: DataFrame) -> DataFrame:
     return out.select("group_id", "path", "frame_index", F.map_from_entries(coords).alias("coordinates"))
 
 
+def series_axes(headers: DataFrame) -> DataFrame:
+    """The axes of each series with their sizes: ``(group_id, position, axis, label, size)``.
+
+    A series of one slice with several frames has no slice axis; time and echo axes exist only with
+    several values.
+    """
+    s = _series_images(headers).groupBy("group_id").agg(
+        F.max("z").alias("z"), F.max("frames").alias("frames"), F.max("t_index").alias("t"), F.max("echo_index").alias("echo"), F.first("_f").alias("_f"))
+    entry = lambda i, axis, label, size: F.struct(F.lit(i).alias("position"), F.lit(axis).alias("axis"), F.lit(label).alias("label"), size.cast("int").alias("size"))
+    axes = F.array_compact(F.array(
+        F.when((F.col("z") > 0) | ~F.col("_f"), entry(0, "z", "Slice", F.col("z") + 1)), F.when(F.col("_f"), entry(1, "frame", "Frame", F.col("frames"))),
+        F.when(F.col("t").isNotNull(), entry(2, "t", "Time", F.col("t") + 1)), F.when(F.col("echo").isNotNull(), entry(3, "echo", "Echo", F.col("echo") + 1))))
+    return s.select("group_id", F.explode(axes).alias("a")).select("group_id", "a.*")
+
+
+def series_axis_values(headers: DataFrame) -> DataFrame:
+    """The value that each index of a time or echo axis stands for: ``(group_id, axis, index, value)``."""
+    values = F.array(F.struct(F.lit("t").alias("axis"), F.col("t_index").alias("index"), F.col("t").alias("value")),
+                     F.struct(F.lit("echo").alias("axis"), F.col("echo_index").alias("index"), F.col("echo").alias("value")))
+    return _series_images(headers).select("group_id", F.explode(values).alias("a")).select("group_id", "a.*").where(F.col("index").isNotNull()).distinct()
+
+
 # --- plane maps --------------------------------------------------------------------------
 
 

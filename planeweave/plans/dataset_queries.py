@@ -31,19 +31,34 @@ def _headers(spark, sf):
         F.lit(None).cast("int").alias("echo"), F.expr("if(o_custkey % 5 = 0, 1 + o_orderkey % 3, 1)").cast("int").alias("frames"))
 
 
-@query("d1_assemble_series", f"""WITH {_HDR},
+_SERIES = f"""{_HDR},
 one AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY sop ORDER BY regexp_replace(regexp_replace(lower(path), '([0-9]+)', '00000000000000000000\\1', 'g'), '[0-9]*([0-9]{{20}})', '\\1', 'g'), path) AS rk FROM hdr WHERE px) WHERE rk = 1),
 gr AS (SELECT ser, count(DISTINCT t) > 1 AS has_t, max(frames) > 1 AS has_f FROM one GROUP BY ALL),
-zz AS (SELECT one.*, has_t, has_f, CASE WHEN has_t THEN dense_rank() OVER (PARTITION BY ser ORDER BY t) - 1 END AS ti,
+zz AS (SELECT one.*, has_t, has_f, ser || '||512x512|1.0000\\0.0000\\0.0000\\0.0000\\1.0000\\0.0000' AS group_id, CASE WHEN has_t THEN dense_rank() OVER (PARTITION BY ser ORDER BY t) - 1 END AS ti,
    CASE WHEN pos IS NOT NULL THEN dense_rank() OVER (PARTITION BY ser ORDER BY pos) - 1
-        WHEN has_t THEN row_number() OVER (PARTITION BY ser, t ORDER BY sop) - 1 ELSE row_number() OVER (PARTITION BY ser ORDER BY sop) - 1 END AS z FROM one JOIN gr USING (ser))
-SELECT ser || '||512x512|1.0000\\0.0000\\0.0000\\0.0000\\1.0000\\0.0000' AS group_id, path, CAST(f.i AS INTEGER) AS frame_index, CAST(z AS INTEGER) AS z, CAST(ti AS INTEGER) AS t, CAST(CASE WHEN has_f THEN f.i END AS INTEGER) AS frame
+        WHEN has_t THEN row_number() OVER (PARTITION BY ser, t ORDER BY sop) - 1 ELSE row_number() OVER (PARTITION BY ser ORDER BY sop) - 1 END AS z FROM one JOIN gr USING (ser))"""
+
+
+@query("d1_assemble_series", f"""WITH {_SERIES}
+SELECT group_id, path, CAST(f.i AS INTEGER) AS frame_index, CAST(z AS INTEGER) AS z, CAST(ti AS INTEGER) AS t, CAST(CASE WHEN has_f THEN f.i END AS INTEGER) AS frame
 FROM zz JOIN range(3) f(i) ON f.i < frames""")
 def d1(spark, sf):
     d = D.assemble_series(_headers(spark, sf))
     return d.select("group_id", "path", "frame_index", *[F.col("coordinates")[a].alias(a) for a in ("z", "t", "frame")])
 
 
+@query("d1_series_axes", f"""WITH {_SERIES}, ax AS (SELECT group_id, max(z) + 1 AS nz, max(frames) AS nf, max(ti) + 1 AS nt, bool_or(has_f) AS has_f FROM zz GROUP BY ALL)
+SELECT group_id, 0 AS position, 'z' AS axis, 'Slice' AS label, CAST(nz AS INTEGER) AS size FROM ax WHERE nz > 1 OR NOT has_f
+UNION ALL SELECT group_id, 1, 'frame', 'Frame', CAST(nf AS INTEGER) FROM ax WHERE has_f UNION ALL SELECT group_id, 2, 't', 'Time', CAST(nt AS INTEGER) FROM ax WHERE nt IS NOT NULL""")
+def d1_axes(spark, sf):
+    return D.series_axes(_headers(spark, sf))
+
+
+@query("d1_series_axis_values", f"""WITH {_SERIES} SELECT DISTINCT group_id, 't' AS axis, CAST(ti AS INTEGER) AS index, CAST(t AS DOUBLE) AS value FROM zz WHERE ti IS NOT NULL""")
+def d1_values(spark, sf):
+    return D.series_axis_values(_headers(spark, sf))
+
+
 _IM = """im AS (SELECT p_partkey AS image_id, ['XYZCT','XYCZT','XYTCZ','XYZTC','XYCTZ','XYT'][p_partkey % 6 + 1] AS ord, ['ZCT','CZT','TCZ','ZTC','CTZ','TZC'][p_partkey % 6 + 1] AS ax,
    1 + p_size % 3 AS size_c, CAST(1 + p_partkey % 4 AS INTEGER) AS nz, 1 + p_size % 2 AS nt, CASE WHEN p_partkey % 5 = 0 THEN 1 ELSE 1 + p_size % 3 END AS nc FROM part),
 sr AS (SELECT *, (CASE WHEN strpos(ax, 'Z') < strpos(ax, 'C') THEN nz ELSE 1 END) * (CASE WHEN strpos(ax, 'T') < strpos(ax, 'C') THEN nt ELSE 1 END) AS sc,

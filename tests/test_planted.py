@@ -303,14 +303,17 @@ def test_rasterised_areas(spark):
     assert shape[2]["major"] == pytest.approx(100, rel=0.02) and shape[2]["minor"] == pytest.approx(60, rel=0.02)
 
 
-@pytest.mark.parametrize("direct", [3, 10**6])
-def test_exact_median_of_large_and_small_keys(spark, direct):
+@pytest.mark.parametrize("accuracy", [20, 10_000])
+def test_exact_median_of_large_and_small_keys(spark, accuracy):
+    """Brackets that hold a part of a key's values, or all; ties, an outlier, even and odd counts."""
     rng = np.random.default_rng(5)
-    rows = [("a", float(v)) for v in rng.normal(size=1001)] + [("b", float(v)) for v in rng.integers(0, 4, 500)] + [("c", 1.0), ("c", 4.0)]
-    d = spark.createDataFrame(rows, "k string, value double")
-    got = {r.k: r["median"] for r in rois.exact_median(rois.value_counts(d, ["k"]), ["k"], direct=direct).collect()}
-    for k in "abc":
-        assert got[k] == pytest.approx(np.median([v for n, v in rows if n == k]))
+    rows = [("a", float(v)) for v in rng.normal(size=3001)] + [("b", float(v)) for v in rng.integers(0, 4, 500)] + [("c", 1.0), ("c", 4.0), ("d", 2.0)]
+    rows += [("e", float(v)) for v in rng.exponential(size=2000)] + [("e", 1e30)]
+    d = spark.createDataFrame([*rows, ("a", float("nan")), ("n", float("inf"))], "k string, value double").repartition(5)
+    got = {r.k: r["median"] for r in rois.exact_median(d, ["k"], accuracy=accuracy).collect()}
+    assert sorted(got) == list("abcde")
+    for k in got:
+        assert got[k] == np.median([v for n, v in rows if n == k])
 
 
 def test_disc_contour_is_round(spark):
@@ -436,11 +439,40 @@ def test_names(spark):
     assert [r.n for r in names.orderBy(text.natural_key("n")).collect()] == ["IM1", "im9", "im10"]
 
 
-@pytest.mark.parametrize("direct", [2, 10**6])
-def test_dense_rank_by_value(spark, direct):
-    d = spark.createDataFrame([("a", float(i % 50)) for i in range(200)] + [("b", 5.0), ("b", 1.0)], "k string, v double")
-    got = {(r.k, r.v): r.rk for r in datasets.dense_rank_by_value(d, ["k"], "v", "rk", parts=8, direct=direct).collect()}
-    assert got == {**{("a", float(i)): i for i in range(50)}, ("b", 1.0): 0, ("b", 5.0): 1}
+@pytest.mark.parametrize("partitions", [1, 7])
+def test_ranks_over_range_partitions(spark, partitions):
+    """Groups over many partitions, ties that partitions split, nulls, NaN and an empty table."""
+    rng = np.random.default_rng(3)
+    rows = [("hot", float(v), i) for i, v in enumerate(rng.integers(0, 9, 300))] + [("b", 5.0, 0), ("b", None, 1), ("b", 1.0, 2), ("b", 1.0, 3), ("b", float("nan"), 4), (None, 2.0, 0)]
+    d = spark.createDataFrame(rows, "k string, v double, i int")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+    try:
+        got = {(r.k, r.i): r.rk for r in datasets.ranked(d, ["k"], ["v"], "rk", ["i"]).collect()}
+        assert datasets.ranked(d.where("i < 0"), ["k"], ["v"], "rk").count() == 0
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    spot = lambda v: (0, 0) if v is None else (2, 0) if v != v else (1, v)
+    for k, v, i in rows:
+        assert got[k, i] == len({spot(w) for o, w, _ in rows if o == k and spot(w) < spot(v)}), (k, v)
+    assert len(got) == len(rows)
+
+
+def test_series_axes_and_unnumbered_images(spark):
+    head = "path string, has_pixels boolean, sop_uid string, series_uid string, study_uid string, series_number int, frame_of_reference string, rows int, columns int, position array<double>, orientation array<double>, instance_number int, t int, echo int, frames int"
+    rows = [("/a/im2.dcm", True, "1", "s", "", None, None, 4, 4, None, None, None, 0, None, 1), ("/b/im2.dcm", True, "2", "s", "", None, None, 4, 4, None, None, None, 0, None, 1),
+            ("/a/im1.dcm", True, "3", "s", "", None, None, 4, 4, None, None, 7, 0, None, 1), ("/c/im1.dcm", True, "4", "s", "", None, None, 4, 4, None, None, 7, 0, None, 1),
+            ("/a/im9.dcm", True, "5", "s", "", None, None, 4, 4, None, None, 1, 3, None, 1), ("/a/one.dcm", True, "6", "f", "", None, None, 4, 4, None, None, 1, None, None, 5),
+            ("/a/no.dcm", False, "7", "f", "", None, None, 4, 4, None, None, 1, None, None, 5)]
+    h = spark.createDataFrame(rows, head)
+    z = {r.path: r.coordinates for r in datasets.assemble_series(h).where("frame_index = 0").collect()}
+    # Numbered images share a slice with their number; unnumbered ones follow, each by itself.
+    assert z["/a/im1.dcm"]["z"] == z["/c/im1.dcm"]["z"] == 0
+    assert sorted((z["/a/im2.dcm"]["z"], z["/b/im2.dcm"]["z"])) == [1, 2] and z["/a/im9.dcm"] == {"z": 0, "t": 1}
+    axes = {(r.group_id[0], r.axis): (r.position, r.label, r["size"]) for r in datasets.series_axes(h).collect()}
+    assert axes == {("s", "z"): (0, "Slice", 3), ("s", "t"): (2, "Time", 2), ("f", "frame"): (1, "Frame", 5)}
+    assert sorted((r.axis, r["index"], r.value) for r in datasets.series_axis_values(h).collect()) == [("t", 0, 0.0), ("t", 1, 3.0)]
 
 
 def fits(values_, **cards):
