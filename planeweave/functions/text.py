@@ -80,7 +80,7 @@ def natural_key(name: Column | str) -> Column:
     runs = F.regexp_extract_all(F.lower(col(name)), F.lit(r"[0-9]+|[^0-9]+"), F.lit(0))
 
     def spelled(run: Column) -> Column:
-        digits = F.ltrim(run, F.lit("0"))
+        digits = F.coalesce(F.nullif(F.ltrim(run, F.lit("0")), F.lit("")), F.lit("0"))
         return F.when(F.substring(run, 1, 1).between("0", "9"), F.concat(F.lpad(F.length(digits).cast("string"), 8, "0"), digits)).otherwise(run)
 
     return F.array_join(F.transform(runs, spelled), "")

@@ -41,8 +41,26 @@ def _run(method):
 
 
 query("t1_otsu", OTSU)(_run("otsu"))
-query("t2_isodata")(_run("isodata"))
-query("t3_li")(_run("li"))
+# Iterative methods: a row per step in a recursive table, the last step decides.
+_STEPS = "WITH RECURSIVE " + CUM + """,
+dm AS MATERIALIZED (SELECT * FROM d),
+tot AS MATERIALIZED (SELECT image_id, page, lo, hi, cn, sn, min(bin) FILTER (n > 0) AS fst FROM dm GROUP BY ALL)"""
+_BIN = f"CASE WHEN threshold_bin >= 0 THEN {EDGE} END AS threshold"
+query("t2_isodata", f"""{_STEPS},
+it AS (SELECT image_id, page, 0 AS i, 128 AS t, false AS done FROM tot
+  UNION ALL SELECT image_id, page, i + 1, CASE WHEN nt IS NULL THEN t ELSE nt END, nt IS NULL OR nt = t FROM (
+    SELECT it.*, CAST(floor((s / nullif(c, 0)::DOUBLE + (sn - s) / nullif(cn - c, 0)::DOUBLE) / 2 + 0.5) AS INTEGER) AS nt
+    FROM it JOIN dm ON dm.image_id = it.image_id AND dm.page = it.page AND dm.bin = greatest(0, least(255, it.t)) WHERE NOT done AND i < 1000)),
+t AS (SELECT tot.image_id, tot.page, lo, hi, greatest(arg_max(it.t, i), any_value(fst)) AS threshold_bin FROM it JOIN tot USING (image_id, page) GROUP BY ALL)
+SELECT image_id, page, threshold_bin, {EDGE} AS threshold FROM t""")(_run("isodata"))
+query("t3_li", f"""{_STEPS},
+it AS (SELECT image_id, page, 0 AS i, sn::DOUBLE / cn AS t, false AS done FROM tot
+  UNION ALL SELECT image_id, page, i + 1, nt, nt IS NULL OR abs(nt - t) <= 0.5 FROM (
+    SELECT *, CASE WHEN low <> high THEN (high - low) / (ln(high) - ln(low)) END AS nt FROM (
+      SELECT it.*, greatest(CASE WHEN c > 0 THEN s::DOUBLE / c ELSE 0 END, 1e-9::DOUBLE) AS low, greatest(CASE WHEN cn > c THEN (sn - s)::DOUBLE / (cn - c) ELSE 0 END, 1e-9::DOUBLE) AS high
+      FROM it JOIN dm ON dm.image_id = it.image_id AND dm.page = it.page AND dm.bin = greatest(0, least(255, CAST(floor(it.t + 0.5) AS INTEGER))) WHERE NOT done AND i < 1000))),
+t AS (SELECT tot.image_id, tot.page, lo, hi, CAST(coalesce(floor(arg_max_null(it.t, i)), 0) AS INTEGER) AS threshold_bin FROM it JOIN tot USING (image_id, page) GROUP BY ALL)
+SELECT image_id, page, threshold_bin, {EDGE} AS threshold FROM t""")(_run("li"))
 query("t4_triangle", f"""WITH {HIST},
 f AS (SELECT image_id, page, min(bin) FILTER (n > 0) AS fst, max(bin) FILTER (n > 0) AS lst, max(n) AS top FROM h GROUP BY ALL),
 pk AS (SELECT f.*, min(bin) AS peak, max(bin) AS peak_r FROM f JOIN h USING (image_id, page) WHERE n = top GROUP BY ALL),
@@ -82,9 +100,30 @@ p AS (SELECT image_id, page, ((-c1 + root) / 2 - m1) / root AS p0 FROM z),
 t AS (SELECT image_id, page, any_value(lo) AS lo, any_value(hi) AS hi, min(bin) FILTER (c::DOUBLE / cn > p0) AS threshold_bin FROM d JOIN p USING (image_id, page) GROUP BY image_id, page)
 SELECT image_id, page, threshold_bin, {EDGE} AS threshold FROM t""")(_run("moments"))
 query("t10_percentile", _criterion("abs(c::DOUBLE / cn - 0.5)", "true", "ASC"))(_run("percentile"))
-query("t11_shanbhag")(_run("shanbhag"))
-query("t12_minimum")(_run("minimum"))
-query("t13_intermodes")(_run("intermodes"))
+# Every split with every bin of each side; below the split, the j-th bin meets the product that has used up the j bins from the split down.
+query("t11_shanbhag", f"""WITH {CUM},
+pr AS MATERIALIZED (SELECT image_id, page, lo, hi, bin, n::DOUBLE / cn AS p, c::DOUBLE / cn AS pb, (cn - c)::DOUBLE / cn AS pf, c > 0 AND c < cn AS ok FROM d),
+sd AS (SELECT a.image_id, a.page, a.bin AS t, 0 AS side, b.bin AS j, b.p AS w, 1 - r.p / a.pb AS f, a.pb AS mass FROM pr a JOIN pr b ON b.image_id = a.image_id AND b.page = a.page AND b.bin BETWEEN 1 AND a.bin
+    JOIN pr r ON r.image_id = a.image_id AND r.page = a.page AND r.bin = a.bin - b.bin + 1 WHERE a.ok
+  UNION ALL SELECT a.image_id, a.page, a.bin, 1, b.bin, b.p, 1 - b.p / a.pf, a.pf FROM pr a JOIN pr b ON b.image_id = a.image_id AND b.page = a.page AND b.bin > a.bin WHERE a.ok),
+lf AS (SELECT *, product(f) OVER (PARTITION BY image_id, page, t, side ORDER BY j ROWS UNBOUNDED PRECEDING) AS lft FROM sd),
+st AS (SELECT *, min(CASE WHEN lft <= 1e-13 THEN j END) OVER (PARTITION BY image_id, page, t, side) AS stop FROM lf),
+en AS (SELECT image_id, page, t, coalesce(-sum(w * ln(lft)) FILTER (side = 0 AND j < coalesce(stop, 256)) / any_value(mass) FILTER (side = 0), 0) AS back,
+       coalesce(-sum(w * ln(lft)) FILTER (side = 1 AND j < coalesce(stop, 256)) / any_value(mass) FILTER (side = 1), 0) AS fore FROM st GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY image_id, page ORDER BY round(abs(back - fore), 10), t) AS rk FROM en),
+t AS (SELECT pr.image_id, pr.page, lo, hi, bin AS threshold_bin FROM r JOIN pr ON pr.image_id = r.image_id AND pr.page = r.page AND pr.bin = r.t WHERE rk = 1)
+SELECT image_id, page, threshold_bin, {EDGE} AS threshold FROM t""")(_run("shanbhag"))
+_PEAKS = "list_filter(range(2, 256), lambda x: h[x - 1] < h[x] AND h[x + 1] < h[x])"
+_SMOOTHED = f"""WITH RECURSIVE {HIST},
+it AS (SELECT image_id, page, lo, hi, 0 AS i, list(n::DOUBLE ORDER BY bin) AS h FROM h GROUP BY ALL
+  UNION ALL SELECT image_id, page, lo, hi, i + 1, list_transform(range(1, 257), lambda x: (h[greatest(x - 1, 1)] + h[x] + h[least(x + 1, 256)]) / 3.0::DOUBLE) FROM it WHERE len({_PEAKS}) > 2 AND i < 9999),
+lst AS (SELECT image_id, page, lo, hi, arg_max(h, i) AS h FROM it GROUP BY ALL), pk AS (SELECT *, {_PEAKS} AS peaks FROM lst)"""
+query("t12_minimum", f"""{_SMOOTHED},
+t AS (SELECT image_id, page, lo, hi, CAST(CASE WHEN len(peaks) = 2 THEN coalesce(list_filter(range(2, 256), lambda x: h[x - 1] > h[x] AND h[x + 1] >= h[x])[1] - 1, -1) ELSE -1 END AS INTEGER) AS threshold_bin FROM pk)
+SELECT image_id, page, threshold_bin, {_BIN} FROM t""")(_run("minimum"))
+query("t13_intermodes", f"""{_SMOOTHED},
+t AS (SELECT image_id, page, lo, hi, CAST(CASE WHEN len(peaks) = 2 THEN (peaks[1] + peaks[2] - 2) // 2 ELSE -1 END AS INTEGER) AS threshold_bin FROM pk)
+SELECT image_id, page, threshold_bin, {_BIN} FROM t""")(_run("intermodes"))
 
 
 @query("flagship_otsu_foreground", OTSU.replace(f"SELECT image_id, page, threshold_bin, {EDGE} AS threshold FROM t", f"""

@@ -12,7 +12,7 @@ from check_oracle import TABLES, compare
 
 SF = "/root/testdata/sf0.001"
 #: Queries that SQL does not express here; tests/test_planted.py holds them to brute force or planted shapes.
-WITHOUT_SQL = {"t2_isodata", "t3_li", "t11_shanbhag", "t12_minimum", "t13_intermodes", "g3_split_by_shape", "g4_split_by_intensity", "g5_count_maxima",
+WITHOUT_SQL = {"g3_split_by_shape", "g4_split_by_intensity", "g5_count_maxima",
                "j8_mask_contours", "p12_colour_adjustments"}
 ROOT = os.path.dirname(os.path.abspath(entry_mod.__file__))
 
