@@ -5,7 +5,7 @@ import math
 from pyspark.sql import functions as F
 
 from planeweave.functions.numeric import finite
-from planeweave.operators import rois
+from planeweave.operators import growth, rois
 from planeweave.sources import views
 
 
@@ -32,3 +32,25 @@ def test_nearest_roi_ties_to_nine_decimals(spark):
     for at, off in ((20.0, 1e-12), (64.0, 1e-11)):
         r = rois.nearest_roi(point, _rects(spark, {1: at + off, 2: at, 3: at + 1e-6}), first=64.0).first()
         assert (r["roi_id"], round(r["distance"], 6)) == (1, at)
+
+
+def test_region_growing_spreads_seeds_and_bounds_batches(spark, monkeypatch):
+    """Few bytes of seeds go to several tasks, and a kernel gets few rows with whole tiles at once."""
+    name, seen = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+    before, cut = spark.conf.get(name), growth.cut_lineage
+
+    def watched(df):
+        out = cut(df)
+        if "costs" in df.columns:
+            seen.append((spark.conf.get(name), out.select(F.spark_partition_id().alias("p")).distinct().count()))
+        return out
+
+    monkeypatch.setattr(growth, "cut_lineage", watched)
+    plane = spark.range(16 * 16).select(F.lit("i").alias("image_id"), F.expr("cast(id div 16 as int)").alias("page"), F.lit(0).alias("y"),
+                                        F.expr("cast(id % 16 as int)").alias("x"), F.expr("cast(id % 16 as double)").alias("value"))
+    seeds = spark.range(16).select(F.lit("i").alias("image_id"), F.col("id").cast("int").alias("page"), F.col("id").alias("seed_id"), F.lit(0).alias("y"), F.lit(3).alias("x"))
+    planes = spark.range(16).select(F.lit("i").alias("image_id"), F.col("id").cast("int").alias("page"), F.lit(16).alias("width"), F.lit(1).alias("height"))
+    got = growth.grow_regions(seeds, plane, planes, tolerance=2.0).collect()
+    assert len(got) == 16 and {(r["bx"], r["width"], r["area"], r["leaked"]) for r in got} == {(1, 5, 5, False)}
+    assert seen[0][0] == str(growth.AT_ONCE) and seen[0][1] > 1
+    assert spark.conf.get(name) == before
