@@ -141,7 +141,11 @@ def number_text(v: Column | str, precision: int = 6, decimal: str = ".") -> Colu
     v = col(v).cast("double")
     mag = F.abs(v)
     inf = float("inf")
-    short = F.regexp_replace(F.format_string(f"%.{precision}f", v), r"\.?0+$", "")
+    if 4 <= precision <= 6:  # what gets here does not round to zero; a decimal is far cheaper to spell than a format
+        fixed = F.when(mag < 1e10, v).cast(f"decimal(38,{precision})").cast("string")
+        short = F.rtrim(F.rtrim(fixed, F.lit("0")), F.lit("."))
+    else:
+        short = F.regexp_replace(F.format_string(f"%.{precision}f", v), r"\.?0+$", "")
     expo = F.regexp_replace(F.format_string(f"%.{max(1, precision - 1)}e", v), r"e([+-])0(\d)", "e$1$2")
     whole = (mag < 1e15) & (v == F.floor(F.when(mag < 1e15, v)))
     text = (F.when(v.isNull(), F.lit("")).when(F.isnan(v), F.lit("NaN"))
@@ -149,7 +153,7 @@ def number_text(v: Column | str, precision: int = 6, decimal: str = ".") -> Colu
             .when(whole, F.floor(F.when(mag < 1e15, v)).cast("string"))
             .when((mag != 0) & ((mag < 1e-4) | (mag >= 1e10)), expo)
             .otherwise(F.when(short == "", F.lit("0")).otherwise(short)))
-    return F.regexp_replace(text, r"\.", ",") if decimal == "," else text
+    return F.replace(text, F.lit("."), F.lit(",")) if decimal == "," else text
 
 
 def quoted(text: Column | str, delimiter: str = ",") -> Column:

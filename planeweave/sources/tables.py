@@ -151,16 +151,16 @@ def present_columns(rows: DataFrame, candidates: Sequence[str]) -> list[str]:
 def export_rows(rows: DataFrame, provenance: DataFrame, columns: Sequence[str], decimal: str = ".",
                 precision: int = 6) -> DataFrame:
     """Measurement rows as text columns, each with the provenance of its own image."""
-    joined = rows.join(provenance, "image_id", "left")
-    types = dict(joined.dtypes)
-    prov = [c for c in PROVENANCE if c in provenance.columns]
-
-    def text(c: str):
-        if types[c] in ("double", "float", "int", "bigint", "smallint", "tinyint"):
+    def text(df: DataFrame, c: str):
+        if dict(df.dtypes)[c] in ("double", "float", "int", "bigint", "smallint", "tinyint"):
             return number_text(c, precision, decimal).alias(c)
         return F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
 
-    return joined.select(*[text(c) for c in (*columns, *prov)])
+    # Spelled out once for each image, not for each of its rows; an image without provenance has empty text.
+    prov = [c for c in PROVENANCE if c in provenance.columns]
+    spelled = provenance.select(*[text(provenance, c) if c in prov else F.col(c) for c in provenance.columns])
+    joined = rows.join(spelled, "image_id", "left")
+    return joined.select(*[text(joined, c) for c in (*columns, *prov)])
 
 
 def write_export(table: DataFrame, path: str, delimiter: str = ",", partition: str = "image_id") -> None:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from planeweave.functions.numeric import finite
 from planeweave.operators import growth, layers as L, objects, rois
-from planeweave.sources import views
+from planeweave.sources import tables as T, views
 
 
 def test_filtered_grid_is_not_broadcast(spark):
@@ -86,3 +86,16 @@ def test_watershed_deals_pixels_to_tiles_once(spark):
     cut = objects.watershed(px.select("image_id", "page", "y", "x"), px.select("image_id", "page", "y", "x", "height"), 1.0)
     assert {r["basin"] for r in cut.select("basin").distinct().collect()} == {0, 1, 2}
     assert cut.where("basin = 0 and abs(x + y - 135) > 1").count() == 0
+
+
+def test_export_spells_numbers_by_decimals_and_provenance_once(spark):
+    """Text of an image's provenance is made before the join with its rows; fixed digits need no format."""
+    values = [0.0001, -0.0001, 1.0000005, 2.5, -3.1234565, 9999999999.5, 7.0, math.nan, None]
+    rows = spark.createDataFrame([(i, "a" if i else "none", v) for i, v in enumerate(values)], "roi_id long, image_id string, mean double")
+    prov = spark.createDataFrame([("a", "mm", 0.125)], "image_id string, unit string, threshold_low double")
+    out = T.export_rows(rows, prov, ["roi_id", "mean"], decimal=",")
+    got = {r["roi_id"]: (r["mean"], r["unit"], r["threshold_low"]) for r in out.collect()}
+    assert [got[str(i)][0] for i in range(9)] == ["0,0001", "-0,0001", "1,000001", "2,5", "-3,123457", "9999999999,5", "7", "NaN", ""]
+    assert got["0"][1:] == ("", "") and got["1"][1:] == ("mm", "0,125")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "%.6f" not in plan and "isnan(threshold_low" not in plan.split("Join")[0]
