@@ -8,6 +8,7 @@ from planeweave.functions.numeric import nan_to_null, rnd
 from planeweave.operators import datasets as D
 from planeweave.plans.registry import NAMES, R1, R2, query, rd
 from planeweave.schema import PLANE
+from planeweave.session import spread
 from planeweave.sources import raster_files as S1
 from planeweave.sources import raster_ranges as RR
 from planeweave.sources import views
@@ -161,7 +162,7 @@ def d6(spark, sf):
         F.expr("p_size * 3 + 100").alias("x0"), F.expr("cast((p_partkey % 10) * 6 as int)").alias("y0"), F.lit(8).alias("w"), F.lit(8).alias("h"),
         F.col("_src").alias("src"))
     s = views.float_stack(spark, sf).where("y < 8 and x < 8").select(F.col("page").alias("src"), "channel", "y", "x", "value")
-    px = t.select(*PLANE, "tile_order", "src").join(s, "src").select(*PLANE, "tile_order", "channel", "y", "x", "value")
+    px = spread(t.select(*PLANE, "tile_order", "src"), *PLANE, "tile_order").join(s, "src").select(*PLANE, "tile_order", "channel", "y", "x", "value")
     return D.assemble_mosaic(t.drop("src"), px)[1].withColumn("value", rnd("value"))
 
 

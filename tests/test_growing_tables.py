@@ -99,3 +99,10 @@ def test_export_spells_numbers_by_decimals_and_provenance_once(spark):
     assert got["0"][1:] == ("", "") and got["1"][1:] == ("mm", "0,125")
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "%.6f" not in plan and "isnan(threshold_low" not in plan.split("Join")[0]
+
+
+def test_grid_is_made_by_many_tasks(spark):
+    """Plane headers are a few bytes in one task; the grid that they become is dealt out."""
+    planes = spark.range(64).select(F.lit("i").alias("image_id"), F.col("id").cast("int").alias("page"), F.lit(1).alias("channels"), F.lit(4).alias("width"), F.lit(4).alias("height")).coalesce(1)
+    shares = [r["count"] for r in views.dense_grid(planes).groupBy(F.spark_partition_id()).count().collect()]
+    assert len(shares) == 4 and sum(shares) == 64 * 16
