@@ -8,6 +8,9 @@ The pieces, each a Spark job over rows that it shuffles by key:
    the same for all sets gives right results; this one keeps common passages out of prefixes.
 3. *Lists.* Two sets that link share a shingle of both their prefixes (size - ceil(t size) + 1
    first shingles). A shingle held by one prefix only is dropped where its list comes together.
+   Shingles that the very same sets hold are one list, with their number: pairs that share
+   a thousand shingles meet once for each list, not once for each shingle. Since the order is the
+   same for all sets, the first of these shingles is the first for each of them.
 4. *Leaders.* In each list, cut in blocks by size, the smallest set is the candidate leader of the
    block; each set is compared with the leader that most of its lists name. One that links to it
    has its distance to the leader as a computed answer.
@@ -139,8 +142,25 @@ def _prefix(size: int, percent: int) -> int:
     return size - -(-percent * size // 100) + 1
 
 
+def _starts(*columns: np.ndarray) -> np.ndarray:
+    """Whether each row of sorted columns differs from the one before."""
+    new = np.ones(len(columns[0]), bool)
+    new[1:] = np.any([c[1:] != c[:-1] for c in columns], axis=0)
+    return new
+
+
+def _runs(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of the rows by the columns, and where runs of equal rows start in it."""
+    order = np.lexsort(columns[::-1])
+    return order, np.flatnonzero(_starts(*[c[order] for c in columns]))
+
+
 def _lists(docs: DataFrame, sketch: np.ndarray, total: int, width: int, percent: int) -> DataFrame:
-    """``(token, set, n, pos)``: the prefix entries whose shingle is in two prefixes or more.
+    """``(list, set, n, pos, times)``: the prefix entries whose shingle is in two prefixes or more.
+
+    ``list`` names the sets that hold a shingle, ``times`` counts the shingles of this list and ``pos`` is
+    the place of the first; a list's parts from several buckets are still to be added up. Two lists under one
+    name would only give more candidates.
 
     Entries travel packed, by bucket of their shingle; the number of buckets follows the number
     of shingles, so that a bucket's size does not. Shingles that may be hot by the sketch, which
@@ -196,16 +216,29 @@ def _lists(docs: DataFrame, sketch: np.ndarray, total: int, width: int, percent:
             size.append(np.frombuffer(raw, np.int32, n, 12 * n))
             names.append(np.frombuffer(raw, np.uint8, 16 * n, 16 * n).reshape(16, n).T)
         token, pos, size, names = (np.concatenate(x) for x in (token, pos, size, names))
+        lo, hi = np.ascontiguousarray(names).view(np.uint64).T
+        times = np.ones(len(token), np.int32)
         if key[0].as_py() < buckets:
-            _, inverse, times = np.unique(token, return_inverse=True, return_counts=True)
-            keep = np.flatnonzero(times[inverse] > 1)
-            token, pos, size, names = token[keep], pos[keep], size[keep], np.ascontiguousarray(names[keep])
+            # Copies of a set hold a shingle once.
+            order, first = _runs(token, lo, hi)
+            at = order[first]
+            first = np.flatnonzero(_starts(token[at]))
+            held = np.diff(np.append(first, len(at)))
+            of = np.add.reduceat((lo[at] ^ (hi[at] * _STEP)) * _MIX, first) if len(at) else np.zeros(0, np.uint64)
+            keep = np.repeat(held > 1, held)
+            at, lists = at[keep], np.repeat(of, held)[keep]
+            # Shingles of one list.
+            order, first = _runs(lists, lo[at], hi[at])
+            pos = np.minimum.reduceat(pos[at[order]], first) if len(first) else pos[:0]
+            times = np.diff(np.append(first, len(order))).astype(np.int32)
+            token, at = lists[order[first]], at[order[first]]
+            size, names = size[at], np.ascontiguousarray(names[at])
         flat = names.tobytes()
-        return pa.table({"token": pa.array(token.view(np.int64)), "set": pa.array([flat[i:i + 16] for i in range(0, len(flat), 16)], pa.binary()),
-                         "n": pa.array(size), "pos": pa.array(pos)})
+        return pa.table({"list": pa.array(token.view(np.int64)), "set": pa.array([flat[i:i + 16] for i in range(0, len(flat), 16)], pa.binary()),
+                         "n": pa.array(size), "pos": pa.array(pos), "times": pa.array(times)})
 
     packed = docs.select("text").mapInArrow(pack, "bucket long, part binary")
-    return packed.groupBy("bucket").applyInArrow(meet, "token long, set binary, n int, pos int")
+    return packed.groupBy("bucket").applyInArrow(meet, "list long, set binary, n int, pos int, times int")
 
 
 # -- comparing ---------------------------------------------------------------------------------
@@ -329,13 +362,14 @@ def classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> Data
     rows = scan.where("block IS NULL").select("doc_id", "n", "set")
     total = rows.agg(F.sum("n")).first()[0] or 0
     sets = _named(rows)
-    entries = stored(_lists(docs, _sketch(scan), total, width, percent).join(sets.select("set", "id"), "set").select("token", "id", "n", "pos"))
+    lists = _lists(docs, _sketch(scan), total, width, percent).join(sets.select("set", "id"), "set")
+    entries = stored(lists.groupBy("list", "id").agg(F.max("n").alias("n"), F.min("pos").alias("pos"), F.sum("times").alias("times")))
     t = percent / 100
 
     # Leaders by block of a list: the first set of the block.
     at = entries.withColumn("_block", F.floor(F.log(F.col("n").cast("double")) / -math.log(t)).cast("int"))
-    head = at.groupBy("token", "_block").agg(F.min("id").alias("lead"), F.count(F.lit(1)).alias("_k")).where("_k > 1").drop("_k")
-    votes = at.join(head, ["token", "_block"]).where("id <> lead").groupBy("id", "lead").count()
+    head = at.groupBy("list", "_block").agg(F.min("id").alias("lead"), F.count(F.lit(1)).alias("_k")).where("_k > 1").drop("_k")
+    votes = at.join(head, ["list", "_block"]).where("id <> lead").groupBy("id", "lead").agg(F.sum("times").alias("count"))
     best = votes.groupBy("id").agg(F.max_by("lead", F.struct("count", "lead")).alias("lead"))
     answers = compare(best.select(F.col("lead").alias("a"), F.col("id").alias("b")), docs, sets, width)
     close = answers.where(_linked(percent))
@@ -347,22 +381,24 @@ def classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> Data
 
     # Lists that are not of one class yet.
     known = classed(entries, roots)
-    apart = known.groupBy("token").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi")).where("_lo <> _hi").select("token")
-    open_rows = known.join(apart, "token", "left_semi").join(leader, "id", "left")
+    apart = known.groupBy("list").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi")).where("_lo <> _hi").select("list")
+    open_rows = known.join(apart, "list", "left_semi").join(leader, "id", "left")
     open_rows = stored(open_rows.withColumns({"lead": F.coalesce("lead", "id"), "far": F.coalesce("far", F.lit(0.0))}))
 
     # Blocks by leader; a pair of blocks is skipped if no two of its sets can link. Two leaders that stand
     # alone must share more of their prefixes than one shingle: of the overlap that they need, at most the larger
-    # set's part behind its prefix can lie elsewhere.
-    blocks = open_rows.groupBy("token", "lead", "root").agg(
-        F.min("n").alias("lo"), F.max("n").alias("hi"), F.max(F.col("n") - F.col("pos")).alias("rest"), F.max("far").alias("far"))
+    # set's part behind its prefix can lie elsewhere. Of the shingles that count for that, each has at least the
+    # larger set's share behind it in both sets, and the first one all of the overlap.
+    blocks = open_rows.groupBy("list", "lead", "root").agg(
+        F.min("n").alias("lo"), F.max("n").alias("hi"), F.max(F.col("n") - F.col("pos")).alias("rest"), F.max("far").alias("far"), F.max("times").alias("times"))
     x, y = blocks.alias("x"), blocks.alias("y")
     sizes = (F.col("x.hi") >= t * F.col("y.lo")) & (F.col("y.hi") >= t * F.col("x.lo"))
-    met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.lead") < F.col("y.lead")) & (F.col("x.root") != F.col("y.root")) & sizes)
+    rest, larger = F.least("x.rest", "y.rest"), F.ceil(F.greatest("x.lo", "y.lo") * t - 1e-9)
+    met = x.join(y, (F.col("x.list") == F.col("y.list")) & (F.col("x.lead") < F.col("y.lead")) & (F.col("x.root") != F.col("y.root")) & sizes & (rest >= larger))
     least = F.ceil((F.col("x.lo") + F.col("y.lo")) * (t / (1 + t)) - 1e-9)
     pairs = met.groupBy(F.col("x.lead").alias("a"), F.col("y.lead").alias("b")).agg(
-        F.max(F.col("x.far") + F.col("y.far")).alias("far"), F.count(F.lit(1)).alias("shared"),
-        F.max(F.least("x.rest", "y.rest") >= least).alias("placed"), F.min(least - F.ceil(F.greatest("x.lo", "y.lo") * t - 1e-9) + 1).alias("needed"))
+        F.max(F.col("x.far") + F.col("y.far")).alias("far"), F.sum(F.least("x.times", "y.times")).alias("shared"),
+        F.max(rest >= least).alias("placed"), F.min(least - larger + 1).alias("needed"))
     pairs = stored(pairs.where("placed AND (far > 0 OR shared >= needed)").select("a", "b", "far"))
     if pairs.limit(1).count():
         between = compare(pairs, docs, sets, width)
@@ -371,11 +407,12 @@ def classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> Data
         near = between.join(pairs, ["a", "b"]).select("a", "b", F.expr(_DISTANCE).alias("apart"), "far").where(f"far > 0 AND apart <= {1 - t} + far + 1e-9").select("a", "b", "apart")
         open_rows = classed(open_rows.drop("root"), roots)
         # Only lists in which blocks of both leaders stand, and only followers far enough from their leader.
-        lists = met.select(F.col("x.lead").alias("a"), F.col("y.lead").alias("b"), F.col("x.token").alias("token"), F.col("x.far").alias("_fa"), F.col("y.far").alias("_fb"))
+        lists = met.where((rest >= least) & (F.col("x.far") + F.col("y.far") > 0)).select(
+            F.col("x.lead").alias("a"), F.col("y.lead").alias("b"), F.col("x.list").alias("list"), F.col("x.far").alias("_fa"), F.col("y.far").alias("_fb"))
         lists = lists.join(near, ["a", "b"]).where(F.col("apart") <= 1 - t + F.col("_fa") + F.col("_fb") + 1e-9)
-        x = open_rows.select("token", F.col("lead").alias("a"), F.struct("id", "n", "pos", "far", "root").alias("x"))
-        y = open_rows.select("token", F.col("lead").alias("b"), F.struct("id", "n", "pos", "far", "root").alias("y"))
-        last = lists.join(x, ["token", "a"]).where(F.col("apart") <= 1 - t + F.col("x.far") + F.col("_fb") + 1e-9).join(y, ["token", "b"]).where(
+        x = open_rows.select("list", F.col("lead").alias("a"), F.struct("id", "n", "pos", "far", "root").alias("x"))
+        y = open_rows.select("list", F.col("lead").alias("b"), F.struct("id", "n", "pos", "far", "root").alias("y"))
+        last = lists.join(x, ["list", "a"]).where(F.col("apart") <= 1 - t + F.col("x.far") + F.col("_fb") + 1e-9).join(y, ["list", "b"]).where(
             (F.col("x.root") != F.col("y.root")) & (F.least("x.n", "y.n") >= t * F.greatest("x.n", "y.n"))
             & (F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos")) >= (F.col("x.n") + F.col("y.n")) * (t / (1 + t)) - 1e-9)
             & (F.col("apart") <= 1 - t + F.col("x.far") + F.col("y.far") + 1e-9) & ((F.col("x.id") != F.col("a")) | (F.col("y.id") != F.col("b"))))

@@ -179,6 +179,32 @@ def test_positive_unlabelled_learning_finds_the_toxic_among_unlabelled():
     assert (g[200:][toxic] > 0).mean() > 0.95 and (g[200:][~toxic] > 0).mean() < 0.05
 
 
+def test_jaccard_shingles_of_one_list_meet_once(spark):
+    """Sets that share hundreds of prefix shingles meet once for each list of sets, not once for each shingle."""
+    common, other = [f"c{i}" for i in range(600)], [f"o{i}" for i in range(300)]
+    texts = [common + [f"a{i}" for i in range(60)], common + [f"b{i}" for i in range(60)], common[:400] + other, other + [f"d{i}" for i in range(900)]]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate([*texts, texts[0]])], "doc_id long, text string").repartition(3)
+    sketch = np.zeros(jaccard.CELLS, np.int64)
+    sets = [jaccard.shingles(" ".join(w).encode(), jaccard._Words()) for w in texts]
+    for s in sets:
+        np.add.at(sketch, jaccard._cell(s), 1)
+    rank = np.minimum(255, 8 * np.log2(1.0 + sketch)).astype(np.uint8)
+    heads = [s[np.argsort(rank[jaccard._cell(s)], kind="stable")[:jaccard._prefix(len(s), 75)]].tolist() for s in sets]
+    want = {}
+    for t in set(sum(heads, [])):
+        held = frozenset(k for k, h in enumerate(heads) if t in h)
+        if len(held) > 1:
+            first, times = want.get(held, ({}, 0))
+            want[held] = ({k: min(first.get(k, 1 << 30), heads[k].index(t)) for k in held}, times + 1)
+    assert max(times for _, times in want.values()) > 50
+    called = {jaccard.name(s): k for k, s in enumerate(sets)}
+    got = {}
+    for r in jaccard._lists(docs, sketch, 1, 5, 75).collect():
+        got.setdefault(r["list"], []).append((called[bytes(r["set"])], r["pos"], r["times"]))
+    assert sorted(sorted(v) for v in got.values()) == sorted(sorted((k, p, times) for k, p in first.items()) for first, times in want.values())
+    assert {r.doc_id: r.component_id for r in jaccard.components(docs).collect()} == {0: 0, 1: 0, 2: 2, 3: 3, 4: 0}
+
+
 def test_jaccard_groups_larger_than_a_part_and_chains(spark):
     dice = random.Random(9)
     base = [f"w{i}" for i in range(120)]
