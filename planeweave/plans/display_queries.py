@@ -267,7 +267,7 @@ q AS (SELECT *, 0.2126::DOUBLE * r + 0.7152::DOUBLE * g + 0.0722::DOUBLE * b AS
 
 
 def _rgb(spark, sf):
-    s = views.sparse_channels(spark, sf).where(F.abs("value") < float("inf"))
+    s = views.covered_channels(spark, sf)
     return s.groupBy(*PIXEL).agg(*[F.max(F.when(F.col("channel") == i, F.col("value") / 50)).alias(c) for i, c in enumerate("rgb")]).na.drop(subset=["r", "g", "b"])
 
 

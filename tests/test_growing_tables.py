@@ -21,6 +21,25 @@ def test_filtered_grid_is_not_broadcast(spark):
     assert "BroadcastHashJoin" not in kept._jdf.queryExecution().executedPlan().toString()
 
 
+def test_readers_of_covered_samples_build_no_grid(spark, tmp_path):
+    """Queries that skip uncovered pixels read cells: the same finite samples, no multiplied rows, no broadcast of them."""
+    from planeweave.plans.registry import QUERIES
+
+    rows = [(5, 3, 1, 10.0), (5, 67, 1, 20.0), (4100, 9, 2, 7.0), (40000, 1, 3, None), (40001, 1, 3, 2.0), (-5, 3, 1, 1.0), (None, 3, 1, 1.0), (6, None, 1, 1.0)]
+    sf = str(tmp_path)
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_linenumber int, l_quantity double").withColumn(
+        "l_extendedprice", F.lit(1.0)).write.parquet(f"{sf}/lineitem.parquet")
+    dense = views.sparse_channels(spark, sf)
+    key = ["image_id", "page", "channel", "y", "x", "value"]
+    got = sorted(map(tuple, views.covered_channels(spark, sf).select(key).collect()))
+    assert got == sorted(map(tuple, dense.where(finite("value")).select(key).collect())) and len(got) == 3
+    heads = sorted(map(tuple, dense.where("image_id IS NOT NULL").groupBy("image_id", "page").agg(F.max("channel") + 1, F.max("x") + 1, F.max("y") + 1).collect()))
+    assert sorted(map(tuple, views.channel_planes(spark, sf).collect())) == heads
+    for name in ("p12_adjustments", "p12_colour_adjustments", "w1_gaussian_blur_sparse", "w7_local_otsu"):
+        plan = QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+        assert "Generate explode(org.apache.spark.sql.catalyst.expressions.UnsafeArrayData" not in plan, name  # constant sequences of a grid
+
+
 def _rects(spark, lefts):
     return spark.createDataFrame([(i, "i", 0, "rect", x, 0.0, 10.0, 10.0, 0.0, None) for i, x in lefts.items()],
                                  "roi_id long, image_id string, page int, kind string, x double, y double, width double, height double, angle double, points array<double>")
