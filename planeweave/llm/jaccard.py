@@ -15,8 +15,9 @@ The pieces, each a Spark job over rows that it shuffles by key:
    block; each set is compared with the leader that most of its lists name. One that links to it
    has its distance to the leader as a computed answer.
 5. *Skipping.* Lists whose sets are all connected by now are skipped whole. In the others, blocks by
-   leader are joined, and pairs of blocks that sizes, positions and the number of shared prefix
-   shingles rule out are skipped. For the rest the leaders alone are compared; since the Jaccard distance obeys the
+   leader are joined where sizes and positions allow a link, and pairs of leaders whose parity bitmaps
+   already tell that they are too far apart are skipped, without their texts. For the rest the leaders alone are
+   compared; since the Jaccard distance obeys the
    triangle inequality, the answers of a leader's followers derive from its own: only where
    d(r1, r2) <= 1 - t + d(x, r1) + d(y, r2), and x and y are not connected yet, are x and y compared.
 
@@ -90,6 +91,25 @@ def name(members: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(members.tobytes())
 
 
+def parities(members: np.ndarray) -> bytes:
+    """For each cell of a bitmap whether an odd number of shingles falls on it; two to four cells a shingle.
+
+    Where the bitmaps of two sets differ, at least one shingle is in one set only: they tell how far
+    apart two sets are at least. A larger bitmap folds to the size of a smaller one.
+    """
+    cells = min(1 << 17, max(64, 1 << int(2 * len(members) - 1).bit_length()))
+    return np.packbits(np.bincount((members >> np.uint64(40)).astype(np.int64) % cells, minlength=cells) & 1 == 1).tobytes()
+
+
+def _least_distance(n_a: int, a: bytes, n_b: int, b: bytes) -> float:
+    """No more than the Jaccard distance of two sets of these sizes and bitmaps."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    size = min(len(x), len(y))
+    differ = int(np.bitwise_count(np.bitwise_xor.reduce(x.reshape(-1, size)) ^ np.bitwise_xor.reduce(y.reshape(-1, size))).sum())
+    both = min((n_a + n_b - differ) / 2, n_a, n_b)
+    return 1 - both / (n_a + n_b - both)
+
+
 def _cell(tokens: np.ndarray) -> np.ndarray:
     return (tokens % np.uint64(CELLS)).astype(np.int64)
 
@@ -101,25 +121,26 @@ def _bytes(column: pa.Array) -> list[bytes | None]:
 # -- sets and order ----------------------------------------------------------------------------
 
 def _scan(docs: DataFrame, width: int) -> DataFrame:
-    """A row per document (doc_id, n, set) and, per task, its part of the sketch by block (block, cells)."""
+    """A row per document (doc_id, n, set, bits) and, per task, its part of the sketch by block (block, cells)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, cells = _Words(), np.zeros(CELLS, np.uint32)
         for batch in batches:
-            sizes, names = [], []
+            sizes, names, bits = [], [], []
             for text in _bytes(batch.column(1)):
                 s = shingles(text, hashes, width)
                 np.add.at(cells, _cell(s), 1)
                 sizes.append(len(s))
                 names.append(name(s))
+                bits.append(parities(s) if len(s) else None)
             k = len(sizes)
-            yield pa.record_batch([batch.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(names, pa.binary()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())],
-                                  ["doc_id", "n", "set", "block", "cells"])
+            yield pa.record_batch([batch.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(names, pa.binary()), pa.array(bits, pa.binary()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())],
+                                  ["doc_id", "n", "set", "bits", "block", "cells"])
         blocks = [(b, zlib.compress(cells[b * BLOCK:(b + 1) * BLOCK].tobytes(), 1)) for b in range(CELLS // BLOCK) if cells[b * BLOCK:(b + 1) * BLOCK].any()]
         k = len(blocks)
-        yield pa.record_batch([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.array([b for b, _ in blocks], pa.int32()),
-                               pa.array([c for _, c in blocks], pa.binary())], ["doc_id", "n", "set", "block", "cells"])
+        yield pa.record_batch([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.binary()), pa.array([b for b, _ in blocks], pa.int32()),
+                               pa.array([c for _, c in blocks], pa.binary())], ["doc_id", "n", "set", "bits", "block", "cells"])
 
-    return stored(docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, set binary, block int, cells binary"))
+    return stored(docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, set binary, bits binary, block int, cells binary"))
 
 
 def _sketch(scan: DataFrame) -> np.ndarray:
@@ -267,6 +288,21 @@ def _screen_of(ids: DataFrame) -> np.ndarray:
     return bits.reshape(-1)
 
 
+def possible(pairs: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
+    """Of the pairs ``(a, b, far)`` those whose bitmaps, ``(id, n, bits)``, allow a distance of 1 - t + far."""
+    most = 1 - percent / 100 + 1e-9
+    for c in "ab":
+        pairs = pairs.join(bits.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}")), c)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (b.slice(i, PACKED) for b in batches for i in range(0, b.num_rows, PACKED)):
+            far, *rest = (batch.column(c).to_pylist() for c in range(2, 7))
+            near = [_least_distance(*r) <= most + f for f, *r in zip(far, *rest)]
+            yield batch.select(["a", "b", "far"]).filter(pa.array(near, pa.bool_()))
+
+    return pairs.select("a", "b", "far", "n_a", "bits_a", "n_b", "bits_b").mapInArrow(keep, "a long, b long, far double")
+
+
 def compare(pairs: DataFrame, docs: DataFrame, sets: DataFrame, width: int) -> DataFrame:
     """``(a, b, both, n_a, n_b)``: sizes of the two sets and of their intersection for each pair of ids.
 
@@ -359,11 +395,14 @@ def classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> Data
     An empty set has no class.
     """
     scan = _scan(docs, width)
-    rows = scan.where("block IS NULL").select("doc_id", "n", "set")
+    rows = scan.where("block IS NULL").select("doc_id", "n", "set", "bits")
     total = rows.agg(F.sum("n")).first()[0] or 0
     sets = _named(rows)
     lists = _lists(docs, _sketch(scan), total, width, percent).join(sets.select("set", "id"), "set")
     entries = stored(lists.groupBy("list", "id").agg(F.max("n").alias("n"), F.min("pos").alias("pos"), F.sum("times").alias("times")))
+    shown = sets.join(entries.select("id").distinct(), "id", "left_semi").select("id", F.col("set").alias("_set"), F.col("doc_id").alias("_doc"))
+    bits = rows.join(shown, (F.col("set") == F.col("_set")) & F.col("doc_id").eqNullSafe(F.col("_doc"))).select("id", "n", "bits")
+    bits = stored(bits.dropDuplicates(["id"]))
     t = percent / 100
 
     # Leaders by block of a list: the first set of the block.
@@ -371,7 +410,8 @@ def classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> Data
     head = at.groupBy("list", "_block").agg(F.min("id").alias("lead"), F.count(F.lit(1)).alias("_k")).where("_k > 1").drop("_k")
     votes = at.join(head, ["list", "_block"]).where("id <> lead").groupBy("id", "lead").agg(F.sum("times").alias("count"))
     best = votes.groupBy("id").agg(F.max_by("lead", F.struct("count", "lead")).alias("lead"))
-    answers = compare(best.select(F.col("lead").alias("a"), F.col("id").alias("b")), docs, sets, width)
+    best = best.select(F.col("lead").alias("a"), F.col("id").alias("b"), F.lit(0.0).alias("far"))
+    answers = compare(possible(best, bits, percent), docs, sets, width)
     close = answers.where(_linked(percent))
     roots = _roots(close.select("a", "b"))
     leader = stored(close.select(F.col("b").alias("id"), F.col("a").alias("lead"), F.expr(_DISTANCE).alias("far")))
@@ -385,21 +425,17 @@ def classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> Data
     open_rows = known.join(apart, "list", "left_semi").join(leader, "id", "left")
     open_rows = stored(open_rows.withColumns({"lead": F.coalesce("lead", "id"), "far": F.coalesce("far", F.lit(0.0))}))
 
-    # Blocks by leader; a pair of blocks is skipped if no two of its sets can link. Two leaders that stand
-    # alone must share more of their prefixes than one shingle: of the overlap that they need, at most the larger
-    # set's part behind its prefix can lie elsewhere. Of the shingles that count for that, each has at least the
-    # larger set's share behind it in both sets, and the first one all of the overlap.
+    # Blocks by leader. The first shingle that two sets share has all of their overlap behind it in both, so only
+    # blocks that stand far enough in front meet; of their leaders' pairs the bitmaps tell which are too far apart.
     blocks = open_rows.groupBy("list", "lead", "root").agg(
-        F.min("n").alias("lo"), F.max("n").alias("hi"), F.max(F.col("n") - F.col("pos")).alias("rest"), F.max("far").alias("far"), F.max("times").alias("times"))
+        F.min("n").alias("lo"), F.max("n").alias("hi"), F.max(F.col("n") - F.col("pos")).alias("rest"), F.max("far").alias("far"))
     x, y = blocks.alias("x"), blocks.alias("y")
     sizes = (F.col("x.hi") >= t * F.col("y.lo")) & (F.col("y.hi") >= t * F.col("x.lo"))
-    rest, larger = F.least("x.rest", "y.rest"), F.ceil(F.greatest("x.lo", "y.lo") * t - 1e-9)
-    met = x.join(y, (F.col("x.list") == F.col("y.list")) & (F.col("x.lead") < F.col("y.lead")) & (F.col("x.root") != F.col("y.root")) & sizes & (rest >= larger))
-    least = F.ceil((F.col("x.lo") + F.col("y.lo")) * (t / (1 + t)) - 1e-9)
-    pairs = met.groupBy(F.col("x.lead").alias("a"), F.col("y.lead").alias("b")).agg(
-        F.max(F.col("x.far") + F.col("y.far")).alias("far"), F.sum(F.least("x.times", "y.times")).alias("shared"),
-        F.max(rest >= least).alias("placed"), F.min(least - larger + 1).alias("needed"))
-    pairs = stored(pairs.where("placed AND (far > 0 OR shared >= needed)").select("a", "b", "far"))
+    least = F.ceil(F.greatest((F.col("x.lo") + F.col("y.lo")) * (t / (1 + t)), F.greatest("x.lo", "y.lo") * t) - 1e-9)
+    met = x.join(y, (F.col("x.list") == F.col("y.list")) & (F.col("x.lead") < F.col("y.lead")) & (F.col("x.root") != F.col("y.root")) & sizes
+                 & (F.least("x.rest", "y.rest") >= least))
+    pairs = met.groupBy(F.col("x.lead").alias("a"), F.col("y.lead").alias("b")).agg(F.max(F.col("x.far") + F.col("y.far")).alias("far"))
+    pairs = stored(possible(pairs, bits, percent))
     if pairs.limit(1).count():
         between = compare(pairs, docs, sets, width)
         roots = _roots(between.where(_linked(percent)).select("a", "b"), roots)
@@ -407,7 +443,7 @@ def classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> Data
         near = between.join(pairs, ["a", "b"]).select("a", "b", F.expr(_DISTANCE).alias("apart"), "far").where(f"far > 0 AND apart <= {1 - t} + far + 1e-9").select("a", "b", "apart")
         open_rows = classed(open_rows.drop("root"), roots)
         # Only lists in which blocks of both leaders stand, and only followers far enough from their leader.
-        lists = met.where((rest >= least) & (F.col("x.far") + F.col("y.far") > 0)).select(
+        lists = met.where(F.col("x.far") + F.col("y.far") > 0).select(
             F.col("x.lead").alias("a"), F.col("y.lead").alias("b"), F.col("x.list").alias("list"), F.col("x.far").alias("_fa"), F.col("y.far").alias("_fb"))
         lists = lists.join(near, ["a", "b"]).where(F.col("apart") <= 1 - t + F.col("_fa") + F.col("_fb") + 1e-9)
         x = open_rows.select("list", F.col("lead").alias("a"), F.struct("id", "n", "pos", "far", "root").alias("x"))
@@ -416,10 +452,11 @@ def classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> Data
             (F.col("x.root") != F.col("y.root")) & (F.least("x.n", "y.n") >= t * F.greatest("x.n", "y.n"))
             & (F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos")) >= (F.col("x.n") + F.col("y.n")) * (t / (1 + t)) - 1e-9)
             & (F.col("apart") <= 1 - t + F.col("x.far") + F.col("y.far") + 1e-9) & ((F.col("x.id") != F.col("a")) | (F.col("y.id") != F.col("b"))))
-        last = stored(last.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct())
+        last = last.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.lit(0.0).alias("far")).distinct()
+        last = stored(possible(last, bits, percent))
         if last.limit(1).count():
             roots = _roots(compare(last, docs, sets, width).where(_linked(percent)).select("a", "b"), roots)
-    return rows.join(classed(sets, roots).select("set", F.col("root").alias("class")), "set", "left").select("doc_id", "n", "set", "class")
+    return rows.drop("bits").join(classed(sets, roots).select("set", F.col("root").alias("class")), "set", "left").select("doc_id", "n", "set", "class")
 
 
 def components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:

@@ -205,6 +205,40 @@ def test_jaccard_shingles_of_one_list_meet_once(spark):
     assert {r.doc_id: r.component_id for r in jaccard.components(docs).collect()} == {0: 0, 1: 0, 2: 2, 3: 3, 4: 0}
 
 
+
+def test_jaccard_bitmaps_never_rule_out_a_link():
+    """Parity bitmaps bound the distance from below, also over two bitmap sizes, and tell loose pairs apart."""
+    rng = np.random.default_rng(7)
+    for n in (1, 3, 40, 63, 66, 900, 1030, 70_000):
+        a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        for kept, extra in ((len(a), 0), (len(a), len(a) // 4), (len(a) * 9 // 10, len(a) // 20), (len(a) // 2, len(a) // 2), (0, len(a))):
+            b = np.union1d(a[:kept], rng.integers(0, 1 << 63, extra, dtype=np.uint64))
+            if not len(b):
+                continue
+            both = len(np.intersect1d(a, b))
+            true = 1 - both / (len(a) + len(b) - both)
+            low = jaccard._least_distance(len(a), jaccard.parities(a), len(b), jaccard.parities(b))
+            assert low <= true + 1e-12
+            assert low > 0.25 or true < 0.5 or n < 40
+
+
+def test_jaccard_loose_group_meets_in_few_pairs(spark, monkeypatch):
+    """Texts that share a passage too short to link them: few pairs of them ask for their texts."""
+    rng = np.random.default_rng(3)
+    passage = [f"p{i}" for i in range(48)]
+    docs = spark.createDataFrame([(k, " ".join([f"w{x}" for x in rng.integers(0, 10**9, 6)] + passage + [f"w{x}" for x in rng.integers(0, 10**9, 6)]))
+                                  for k in range(60)], "doc_id long, text string")
+    asked, compare = [], jaccard.compare
+
+    def watched(pairs, *rest):
+        asked.append(pairs.count())
+        return compare(pairs, *rest)
+
+    monkeypatch.setattr(jaccard, "compare", watched)
+    got = {r.doc_id: r.component_id for r in jaccard.components(docs).collect()}
+    assert got == {k: k for k in range(60)} and sum(asked) <= 10
+
+
 def test_jaccard_groups_larger_than_a_part_and_chains(spark):
     dice = random.Random(9)
     base = [f"w{i}" for i in range(120)]
