@@ -104,12 +104,8 @@ def slice_position(position: str = "position", orientation: str = "orientation")
                   p(0) * cross[0] + p(1) * cross[1] + p(2) * cross[2])
 
 
-def _series_images(headers: DataFrame) -> DataFrame:
-    """One row per image of the series: ``group_id, path, frames, t, echo, z, t_index, echo_index`` and
-    ``_t, _e, _f``, which tell whether its series has a time, echo and frame axis.
-
-    All axes are ranked in one shuffle: an image gives an entry for each axis that its series has.
-    """
+def _image_headers(headers: DataFrame) -> tuple[DataFrame, Column]:
+    """One header row per image, that of the first path in natural order, and the expression of its series."""
     text = lambda c: F.when(F.col(c) != "", F.col(c))
     angle = F.array_join(F.transform(F.slice("orientation", 1, 6), lambda v: F.format_string("%.4f", v)), "\\")
     identity = F.coalesce(text("series_uid"), F.concat(
@@ -121,6 +117,16 @@ def _series_images(headers: DataFrame) -> DataFrame:
     needed = ["series_uid", "study_uid", "series_number", "frame_of_reference", "rows", "columns", "orientation", "position", "t", "echo", "frames", "instance_number"]
     h = headers.where("has_pixels").groupBy(F.coalesce(text("sop_uid"), F.col("path")).alias("_key")).agg(
         F.min(F.struct(natural_key("path").alias("_natural"), "path", *needed)).alias("h")).select("_key", "h.*")
+    return h, group_id
+
+
+def _series_images(headers: DataFrame) -> DataFrame:
+    """One row per image of the series: ``group_id, path, frames, t, echo, z, t_index, echo_index`` and
+    ``_t, _e, _f``, which tell whether its series has a time, echo and frame axis.
+
+    All axes are ranked in one shuffle: an image gives an entry for each axis that its series has.
+    """
+    h, group_id = _image_headers(headers)
     # Names are spelled out once for each image: several readers follow.
     h = cut_lineage(h.select(
         "_key", "path", group_id.alias("group_id"), F.round(slice_position(), 5).alias("_pos"), F.col("t").cast("double").alias("t"), F.col("echo").cast("double").alias("echo"),
@@ -185,9 +191,13 @@ def series_axes(headers: DataFrame) -> DataFrame:
 
 def series_axis_values(headers: DataFrame) -> DataFrame:
     """The value that each index of a time or echo axis stands for: ``(group_id, axis, index, value)``."""
-    values = F.array(F.struct(F.lit("t").alias("axis"), F.col("t_index").alias("index"), F.col("t").alias("value")),
-                     F.struct(F.lit("echo").alias("axis"), F.col("echo_index").alias("index"), F.col("echo").alias("value")))
-    return _series_images(headers).select("group_id", F.explode(values).alias("a")).select("group_id", "a.*").where(F.col("index").isNotNull()).distinct()
+    h, group_id = _image_headers(headers)
+    values = F.array(*[F.struct(F.lit(c).alias("axis"), F.col(c).cast("double").alias("value")) for c in ("t", "echo")])
+    # Slices and names play no part: each value of a series is ranked once, however many images show it.
+    v = h.select(group_id.alias("group_id"), F.explode(values).alias("a")).select("group_id", "a.*").where("value IS NOT NULL")
+    v = cut_lineage(v.distinct())
+    several = v.groupBy("group_id", "axis").count().where("count > 1").select("group_id", "axis")
+    return ranked(v.join(several, ["group_id", "axis"], "left_semi"), ["group_id", "axis"], ["value"], "index").select("group_id", "axis", "index", "value")
 
 
 # --- plane maps --------------------------------------------------------------------------

@@ -125,3 +125,22 @@ def test_grid_is_made_by_many_tasks(spark):
     planes = spark.range(64).select(F.lit("i").alias("image_id"), F.col("id").cast("int").alias("page"), F.lit(1).alias("channels"), F.lit(4).alias("width"), F.lit(4).alias("height")).coalesce(1)
     shares = [r["count"] for r in views.dense_grid(planes).groupBy(F.spark_partition_id()).count().collect()]
     assert len(shares) == 4 and sum(shares) == 64 * 16
+
+
+def test_axis_values_are_ranked_once_each(spark, monkeypatch):
+    """Only the distinct values of a series are ranked, not an entry for each image and axis."""
+    from planeweave.operators import datasets
+
+    ranked, counted = datasets.ranked, []
+
+    def watched(rows, *rest):
+        counted.append(rows.count())
+        return ranked(rows, *rest)
+
+    monkeypatch.setattr(datasets, "ranked", watched)
+    rows = [(f"p{i}", "s", float(i % 3), None if i % 2 else 7.0) for i in range(40)]
+    headers = spark.createDataFrame(rows, "path string, series_uid string, t double, echo double").selectExpr(
+        "true AS has_pixels", "path AS sop_uid", "path", "series_uid", "'st' AS study_uid", "1 AS series_number", "'f' AS frame_of_reference", "4 AS rows", "4 AS columns",
+        "cast(null AS array<double>) AS orientation", "cast(null AS array<double>) AS position", "t", "echo", "1 AS frames", "cast(null AS int) AS instance_number")
+    got = sorted(tuple(r)[1:] for r in datasets.series_axis_values(headers).collect())
+    assert got == [("t", 0, 0.0), ("t", 1, 1.0), ("t", 2, 2.0)] and counted == [3]
